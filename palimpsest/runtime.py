@@ -40,12 +40,13 @@ def arrow_rows(spark: SparkSession, rows: int = 512) -> None:
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written tables; a local one only where the cluster names none."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext._jsc.sc()
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and context.getCheckpointDir().isDefined():
+        found = context.getCheckpointDir().get()
     if not found:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = made.get() if made.isDefined() else "file://" + tempfile.mkdtemp(prefix="palimpsest-scratch-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        found = "file://" + tempfile.mkdtemp(prefix="palimpsest-scratch-")
+    if not context.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
