@@ -35,6 +35,7 @@ from palimpsest.runtime import arrow_rows, saved, scratch_path, ship, table
 V1_FIELDS = "URL IP-address Archive-date Content-type Archive-length"
 V2_FIELDS = "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
 LEVEL = 1  # of gzip
+MOST_PARTS = 100_000
 #: Date of records that tell none.
 EPOCH = "20000101000000"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -216,7 +217,9 @@ def arc_to_warc(index: DataFrame, arc_folder: str, warc_folder: str, least: int
     revisits = rows.select("file", "offset", "digest", F.col("first.page_id").alias("f_page"), F.col("first.url").alias("f_url"), F.col("first.date").alias("f_date"), F.col("first.file").alias("f_file"), F.col("first.offset").alias("f_offset"))
     # Each file's own row comes first (offset -1), so that files without revisits are converted as well.
     files = index.select("file").distinct().select("file", F.lit(-1).cast("long").alias("offset"), *(F.lit(None).cast(t).alias(c) for c, t in (("digest", "string"), ("f_page", "long"), ("f_url", "string"), ("f_date", "string"), ("f_file", "string"), ("f_offset", "long"))))
-    work = files.unionByName(revisits).repartition("file").sortWithinPartitions("file", "offset")
+    # As many partitions as there may be files: the rows are few, so they would else all be put into one.
+    n = max(1, min(files.count(), MOST_PARTS))
+    work = files.unionByName(revisits).repartition(n, "file").sortWithinPartitions("file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, place = store_of(arc_folder)
@@ -299,7 +302,7 @@ def read_warc(files: DataFrame, folder: str) -> DataFrame:
         columns = zip(*rows, strict=True) if rows else ([] for _ in kinds)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
-    return files.repartition("file").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, record_id string, record_date string")
+    return files.repartition(max(1, min(files.count(), MOST_PARTS)), "file").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, record_id string, record_date string")
 
 
 def through_archives(pages: DataFrame, least: int = 0) -> DataFrame:
