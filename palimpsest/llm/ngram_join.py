@@ -8,10 +8,13 @@ lists of its n - ceil(0.75 n) + 1 first shingles in a common order, in which shi
 come last, so that passages which many documents share seldom open a list. The boundary x is the one of least
 estimated cost over the sizes that occur.
 
-A list names its smallest class as hub, and each member is verified against the hub alone. Linked classes then count
-as one component; only lists that still hold several components are scanned again, with another hub, and finally
-pair by pair between components. So a group of many copies costs links in its number, and no link between different
-components is ever left unverified: the result is exact.
+Pairs of a short list are counted over all short lists; two sets that share too few of their first shingles to link are
+left out by that count, the rest verified. A long list is not paired: its smallest set p is its hub, and each member is
+verified against p alone. A member x that does not link to p can only link to another member y (which is no smaller)
+if x and y share shingles outside p, at least the overlap they need less the part of x that lies in p. So what is left
+of each member without p is joined again, each unlinked member by as many of its rarest leftovers as that number
+allows. A group of many copies so costs links in its number, and no pair that may link is left unverified: the
+result is exact, whatever is frequent.
 
 Shingles are 64-bit hashes. Results for odd input: null text or text without words has no shingles (n_shingles 0) and
 is a component of its own; fewer than five words are one shingle; repeated rows are in one component; rows without
@@ -23,12 +26,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.runtime import arrow_rows, saved, ship, table
@@ -36,12 +39,12 @@ from palimpsest.runtime import arrow_rows, saved, ship, table
 SHINGLE, PERCENT = 5, 75
 #: Largest boundary that is considered; cost of a posting in terms of one subset key.
 MOST_LIGHT, POSTING_COST = 12, 4
-#: Words of a worker's cache; characters at once; shingles put last in the order (1 MB at most); least list length that counts as frequent.
-ENTRIES, CHUNK, LAST, FREQUENT = 400_000, 4_000_000, 131_072, 64
+#: Words of a worker's cache; characters at once; shingles put last in the order (1 MB at most); least count, summed over partitions that see it twice, of a frequent one.
+ENTRIES, CHUNK, LAST, FREQUENT = 400_000, 4_000_000, 131_072, 32
 #: Bits of the filter that tells which sets verification needs (1 MB).
 FILTER_BITS = 23
-#: Members up to which a list is finished pair by pair at once, and rounds of hubs before longer ones are.
-SMALL_LIST, HUB_ROUNDS = 24, 4
+#: Members up to which a list is short.
+SHORT_LIST = 64
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -83,13 +86,14 @@ class Words(dict):
 
 
 _words = Words()
+_TRUE = np.ones(1, bool)
 
 
 def shingle_sets(texts: list[str | None], width: int = SHINGLE) -> list[np.ndarray]:
     """Each text's sorted distinct shingle hashes."""
     words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]  # bytes.lower() folds A-Z alone
     n = [len(w) for w in words]
-    flat = np.fromiter((_words[w] for x in words for w in x), np.uint64, sum(n))
+    flat = np.fromiter(map(_words.__getitem__, chain.from_iterable(words)), np.uint64, sum(n))
     k = max(0, len(flat) - width + 1)
     grams = np.zeros(k, np.uint64)
     for i in range(width):
@@ -98,7 +102,8 @@ def shingle_sets(texts: list[str | None], width: int = SHINGLE) -> list[np.ndarr
     out, at = [], 0
     for size in n:
         if size >= width:
-            out.append(np.unique(grams[at : at + size - width + 1]))
+            g = np.sort(grams[at : at + size - width + 1])
+            out.append(g[np.concatenate([_TRUE, g[1:] != g[:-1]])])
         elif size:
             part = flat[at : at + size]
             out.append(mixed(np.array([(part * MULTIPLIERS[:size]).sum(dtype=np.uint64) ^ np.uint64(size)], np.uint64)))
@@ -176,8 +181,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if firsts:
         every = np.concatenate(firsts)
         found, count = np.unique(every, return_counts=True)
-        # whatever fills more than a LAST-th part of all lists fills it in some partition
-        often = count >= max(3, len(every) // LAST)
+        often = count >= 2  # with df copies over p partitions about df^2 / 2p pairs fall together, so what is frequent shows at any size
         found, count = found[often], count[often]
         if len(found):
             yield _batch(_ROWS, [1] * len(found), [None] * len(found), count, found.view(np.int64))
@@ -218,7 +222,7 @@ def _postings(last, light: int):
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and class: the lists of two classes at least, with their first class as hub. Streams: one row is carried on."""
+    """Of rows sorted by key, size and class: the lists of two classes at least, with their first class as hub. Streams: one row is carried on."""
     names = ["key", "kind", "cls", "n", "hub", "hub_n"]
     carry, told = None, False  # first row of the list that may go on, and whether it has been given out
     for b in batches:
@@ -285,62 +289,72 @@ class Join:
         last = np.sort(often.toPandas()["cls"].to_numpy(np.int64).view(np.uint64))
         arrow_rows(self.spark, 10_000)
         postings = self.texts.mapInArrow(_postings(self.spark.sparkContext.broadcast(last), self.light), "key long, kind int, cls long, n int")
-        lists = postings.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_lists, _LISTS)
+        lists = postings.repartition("key").sortWithinPartitions("key", "n", "cls").mapInArrow(_lists, _LISTS)
         self.lists = saved(self.spark, lists, "lists")
-        self.checked: DataFrame | None = None
 
     def light_links(self) -> DataFrame:
         keys = self.lists.where("kind > 0")
         both = keys.groupBy("key").agg((F.min("n") < F.max("n")).alias("both"))
         return keys.join(both, "key").where("(kind = 1 or both) and cls != hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b, a_n, b_n), a < b, those that link."""
+    def overlaps(self, pairs: DataFrame, rest: str = "false") -> DataFrame:
+        """pairs (a, b, ...) with a_n, b_n, common, and in `rest` the shingles of b outside a where that condition holds."""
         pairs = saved(self.spark, pairs, "pairs")
-        known = pairs.select("a", "b")
-        self.checked = known if self.checked is None else self.checked.union(known)
         bit = F.col("c").bitwiseAND((1 << FILTER_BITS) - 1)
         ends = pairs.select(F.explode(F.array("a", "b")).alias("c"))
         words = ends.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, int((c & {(1 << FILTER_BITS) - 1}) & 63))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
         filled = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
         filled[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64).view(np.uint64)
         arrow_rows(self.spark, 4096)
-        sets = self.texts.mapInArrow(_sets(self.spark.sparkContext.broadcast(filled)), "cls long, shingles array<long>")
-        sets = saved(self.spark, sets.join(ends.select(F.col("c").alias("cls")).distinct(), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+        sets = saved(self.spark, self.texts.mapInArrow(_sets(self.spark.sparkContext.broadcast(filled)), "cls long, shingles array<long>"), "sets").dropDuplicates(["cls"])
         one = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("s")), "a")
         two = one.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("t")), "b")
-        common = F.size(F.array_intersect("s", "t"))
-        return saved(self.spark, two.where(common * 100 >= (F.size("s") + F.size("t") - common) * PERCENT).select("a", "b"), "links")
+        return saved(
+            self.spark,
+            two.select(*pairs.columns, F.size("s").alias("a_n"), F.size("t").alias("b_n"), F.size(F.array_intersect("s", "t")).alias("common"), F.expr(f"case when {rest} then array_except(t, s) end").alias("rest")),
+            "overlaps",
+        )
 
     def run(self) -> DataFrame:
         """(cls, comp) of the classes that are linked to another."""
         heavy = self.lists.where("kind = 0")
-        pairs = heavy.where((F.col("cls") != F.col("hub")) & _can_link("n", "hub_n") & (F.greatest("n", "hub_n") > self.light))
-        pairs = pairs.select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
-        links = self.light_links().union(self.verified(pairs))
+        lengths = heavy.groupBy("key").agg(F.count("*").alias("m"))
+        long = lengths.where(F.col("m") > SHORT_LIST)
+        short = heavy.join(long, "key", "left_anti").select("key", "cls", "n")
+        p, q = short.alias("p"), short.alias("q")
+        meet = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.cls") < F.col("q.cls")) & _can_link("p.n", "q.n") & (F.greatest("p.n", "q.n") > self.light))
+        counted = meet.groupBy(F.col("p.cls").alias("a"), F.col("q.cls").alias("b")).agg(F.count("*").alias("k"), F.first("p.n").alias("x"), F.first("q.n").alias("y"))
+        least = F.expr(f"ceil({PERCENT} * (x + y) / {100 + PERCENT}) - ceil({PERCENT} * greatest(x, y) / 100) + 1")
+        near = counted.where(F.col("k") >= least).select("a", "b", F.lit(False).alias("hubbed"))
+        stars = heavy.join(long, "key", "left_semi").where("cls != hub").select(F.col("hub").alias("a"), F.col("cls").alias("b"), F.lit(True).alias("hubbed")).distinct()
+        found = self.overlaps(near.union(stars), "hubbed")
+        links = self.light_links().union(linking(found))
         comps = components(links)
-        members = heavy.where("cls != hub").select("key", "cls", "n")
-        for turn in range(HUB_ROUNDS + 1):
-            named = members.select("key", "cls", "n").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-            open_lists = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"), F.min(F.struct("cls", "n", "comp")).alias("hub")).where("x < y").drop("x", "y")
-            members = saved(self.spark, named.join(open_lists, "key"), "members")
-            if members.isEmpty():
-                break
-            most = SMALL_LIST if turn < HUB_ROUNDS else 1 << 62
-            short, long = members.where(F.col("m") <= most), members.where(F.col("m") > most)
-            p, q = short.alias("p"), short.alias("q")
-            cross = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.cls") < F.col("q.cls")) & (F.col("p.comp") != F.col("q.comp")) & _can_link("p.n", "q.n") & (F.greatest("p.n", "q.n") > self.light))
-            found = cross.select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b"))
-            to_hub = long.where((F.col("cls") != F.col("hub.cls")) & (F.col("comp") != F.col("hub.comp")) & _can_link("n", "hub.n") & (F.greatest("n", "hub.n") > self.light))
-            found = found.union(to_hub.select(F.col("hub.cls").alias("a"), F.col("cls").alias("b"))).distinct()
-            new = saved(self.spark, found.join(self.checked, ["a", "b"], "left_anti"), "open-pairs")
-            if not new.isEmpty():
-                links = links.union(self.verified(new))
-                comps = components(links)
-            members = long.where(F.col("cls") != F.col("hub.cls"))
+        # A hub's members with their leftovers, and the component of each.
+        own = lambda df, c: df.join(comps.select(F.col("cls").alias(c), F.col("comp").alias(f"{c}_comp")), c, "left").withColumn(f"{c}_comp", F.coalesce(f"{c}_comp", c))
+        stars = saved(self.spark, own(own(found.where("hubbed"), "a"), "b"), "stars")
+        asked = F.expr(f"greatest(1, greatest(ceil({PERCENT} * b_n / 100), ceil({PERCENT} * (a_n + b_n) / {100 + PERCENT})) - common)")
+        probes = stars.where("a_comp != b_comp").withColumn("take", F.size("rest") - asked + 1).where("take > 0")
+        stored = stars.join(probes.select("a").distinct(), "a", "left_semi").select("a", "b", "b_n", "b_comp", F.explode("rest").alias("s"))
+        often = stored.groupBy("a", "s").agg(F.count("*").alias("often")).where("often > 1")
+        # Leftovers that no other member has can't meet one, but count in the number to take: they are the rarest.
+        listed = probes.select("a", "b", "b_n", "b_comp", "take", F.size("rest").alias("size"), F.explode("rest").alias("s")).join(often, ["a", "s"])
+        order = Window.partitionBy("a", "b").orderBy("often", "s")
+        listed = listed.withColumns({"rank": F.row_number().over(order), "shared": F.count("*").over(Window.partitionBy("a", "b"))})
+        listed = listed.where(F.col("size") - F.col("shared") + F.col("rank") <= F.col("take"))
+        p, q = listed.alias("p"), stored.alias("q")
+        meet = p.join(q, (F.col("p.a") == F.col("q.a")) & (F.col("p.s") == F.col("q.s")) & (F.col("p.b_comp") != F.col("q.b_comp")) & _can_link("p.b_n", "q.b_n"))
+        more = meet.select(F.least("p.b", "q.b").alias("a"), F.greatest("p.b", "q.b").alias("b")).distinct()
+        more = saved(self.spark, more.join(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "open-pairs")
+        if not more.isEmpty():
+            comps = components(links.union(linking(self.overlaps(more))))
         return comps
 
 
+def linking(found: DataFrame) -> DataFrame:
+    return found.where(F.col("common") * 100 >= (F.col("a_n") + F.col("b_n") - F.col("common")) * PERCENT).select("a", "b")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(cls, comp): the smallest class of each connected component, by alternating large and small stars."""
     spark = links.sparkSession
