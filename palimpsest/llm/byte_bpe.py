@@ -145,7 +145,7 @@ class Codec:
         while True:
             self.db.execute(STEP)
             self.db.execute("create or replace temp table long_state as select * from long_next")
-            left = self.db.execute("select count(*) from long_state").fetchone()[0]
+            left = self.db.execute("select count(*) from long_state").fetchall()[0][0]
             if left == count:
                 break
             count = left
