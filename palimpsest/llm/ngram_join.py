@@ -9,12 +9,17 @@ come last, so that passages which many documents share seldom open a list. The b
 estimated cost over the sizes that occur.
 
 Pairs of a short list are counted over all short lists; two sets that share too few of their first shingles to link are
-left out by that count, the rest verified. A long list is not paired: its smallest set p is its hub, and each member is
-verified against p alone. A member x that does not link to p can only link to another member y (which is no smaller)
-if x and y share shingles outside p, at least the overlap they need less the part of x that lies in p. So what is left
-of each member without p is joined again, each unlinked member by as many of its rarest leftovers as that number
-allows. A group of many copies so costs links in its number, and no pair that may link is left unverified: the
-result is exact, whatever is frequent.
+left out by that count, the rest verified. A long list is not paired: each member is verified against the list's centre
+and the centres of its size band and the next one, which tells most components. A pair that joins two components has one
+member x outside the list's most frequent component. Let C be the centre with all shingles that are frequent among the
+members. If x lies in C by less than it needs of any partner, it shares at least the difference with its partner outside
+C; so x is joined again by as many of its rarest shingles outside C as that number allows, with what all members have
+outside C. Other members x are verified against the list's next centres. For those that are still outside, partners that
+lie in C by less than they need are joined from their side; the partners that do not are verified, as x is, against the
+smallest set p of the list: of a pair one does not link to p, and needs of its partner, which is no smaller than p, at
+least what it would need of p, so both share the rest outside p. A group of many copies so costs
+links in its number, and no pair that may join two components is left unverified: the result is exact, whatever is
+frequent.
 
 Shingles are 64-bit hashes. Results for odd input: null text or text without words has no shingles (n_shingles 0) and
 is a component of its own; fewer than five words are one shingle; repeated rows are in one component; rows without
@@ -45,6 +50,10 @@ ENTRIES, CHUNK, LAST, FREQUENT = 400_000, 4_000_000, 131_072, 32
 FILTER_BITS = 23
 #: Members up to which a list is short.
 SHORT_LIST = 64
+#: Ratio of the sizes that share a centre.
+BAND = 1.15
+#: Mark of a pair with a list's centre, and centres that a member is verified against where the first leaves it open.
+CENTRE, CENTRES = 2, 8
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -279,6 +288,7 @@ class Join:
     def __init__(self, docs: DataFrame) -> None:
         self.spark: SparkSession = docs.sparkSession
         ship(self.spark)
+        self.sets: DataFrame | None = None
         self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         arrow_rows(self.spark, 4096)
         first = saved(self.spark, self.texts.mapInArrow(_first_pass, "kind int, doc_id long, n long, cls long"), "shingle-rows")
@@ -298,15 +308,18 @@ class Join:
         return keys.join(both, "key").where("(kind = 1 or both) and cls != hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
 
     def overlaps(self, pairs: DataFrame, rest: str = "false") -> DataFrame:
-        """pairs (a, b, ...) with a_n, b_n, common, and in `rest` the shingles of b outside a where that condition holds."""
+        """pairs (a, b, ...) with a_n, b_n, common, and in `rest` the shingles of b outside a where that condition holds.
+
+        The first call reads the texts again for the sets of its pairs; later pairs are among the same classes.
+        """
         pairs = saved(self.spark, pairs, "pairs")
-        bit = F.col("c").bitwiseAND((1 << FILTER_BITS) - 1)
         ends = pairs.select(F.explode(F.array("a", "b")).alias("c"))
-        words = ends.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, int((c & {(1 << FILTER_BITS) - 1}) & 63))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
-        filled = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-        filled[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64).view(np.uint64)
-        arrow_rows(self.spark, 4096)
-        sets = saved(self.spark, self.texts.mapInArrow(_sets(self.spark.sparkContext.broadcast(filled)), "cls long, shingles array<long>"), "sets").dropDuplicates(["cls"])
+        if self.sets is None:
+            self.sets = self.sets_of(ends)
+            sets = self.sets
+        else:
+            sets = self.sets.join(ends.select(F.col("c").alias("cls")).distinct(), "cls", "left_semi")
+        sets = sets.dropDuplicates(["cls"])
         one = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("s")), "a")
         two = one.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("t")), "b")
         return saved(
@@ -315,6 +328,31 @@ class Join:
             "overlaps",
         )
 
+    def central(self, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs (a, b, kind) of each member of a long list with its centre (kind 2) and those of its size band and the next one (kind 0), and (key, a) of the CENTRES first centres.
+
+        A centre is the member with the greatest part of its prefix in long lists: the one with the fewest words of its own.
+        """
+        own = members.groupBy("cls").agg(F.count("*").alias("c"))
+        score = F.struct((F.col("c") / (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)).alias("part"), "n", "cls")
+        scored = members.join(own, "cls").select("key", "band", score.alias("score"))
+        best = saved(self.spark, scored.groupBy("key", "band").agg(F.max("score").alias("score")), "centres")
+        of_list = best.groupBy("key").agg(F.max("score")["cls"].alias("a"))
+        of_band = best.select("key", "band", F.col("score")["cls"].alias("a"))
+        asked = members.select("key", F.col("cls").alias("b"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+        whole = members.select("key", F.col("cls").alias("b")).join(of_list, "key").select("a", "b", F.lit(CENTRE).alias("kind"))
+        banded = asked.join(of_band, ["key", "band"]).select("a", "b", F.lit(0).alias("kind"))
+        first = scored.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score")))).where(F.col("rank") <= CENTRES)
+        return whole.union(banded).where("a != b"), first.select("key", F.col("score")["cls"].alias("a"))
+
+    def sets_of(self, ends: DataFrame) -> DataFrame:
+        bit = F.col("c").bitwiseAND((1 << FILTER_BITS) - 1)
+        words = ends.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, int((c & {(1 << FILTER_BITS) - 1}) & 63))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
+        filled = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+        filled[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64).view(np.uint64)
+        arrow_rows(self.spark, 4096)
+        return saved(self.spark, self.texts.mapInArrow(_sets(self.spark.sparkContext.broadcast(filled)), "cls long, shingles array<long>"), "sets")
+
     def run(self) -> DataFrame:
         """(cls, comp) of the classes that are linked to another."""
         heavy = self.lists.where("kind = 0")
@@ -325,31 +363,84 @@ class Join:
         meet = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.cls") < F.col("q.cls")) & _can_link("p.n", "q.n") & (F.greatest("p.n", "q.n") > self.light))
         counted = meet.groupBy(F.col("p.cls").alias("a"), F.col("q.cls").alias("b")).agg(F.count("*").alias("k"), F.first("p.n").alias("x"), F.first("q.n").alias("y"))
         least = F.expr(f"ceil({PERCENT} * (x + y) / {100 + PERCENT}) - ceil({PERCENT} * greatest(x, y) / 100) + 1")
-        near = counted.where(F.col("k") >= least).select("a", "b", F.lit(False).alias("hubbed"))
-        stars = heavy.join(long, "key", "left_semi").where("cls != hub").select(F.col("hub").alias("a"), F.col("cls").alias("b"), F.lit(True).alias("hubbed")).distinct()
-        found = self.overlaps(near.union(stars), "hubbed")
+        near = counted.where(F.col("k") >= least).select("a", "b", F.lit(0).alias("kind"))
+        members = saved(self.spark, heavy.join(long, "key", "left_semi").select("key", "cls", "n", "hub", F.floor(F.log(BAND, "n")).cast("int").alias("band")), "long-lists")
+        pairs, first = self.central(members)
+        found = self.overlaps(near.union(pairs).groupBy("a", "b").agg(F.bit_or("kind").alias("kind")), "kind > 0")
         links = self.light_links().union(linking(found))
         comps = components(links)
-        # A hub's members with their leftovers, and the component of each.
-        own = lambda df, c: df.join(comps.select(F.col("cls").alias(c), F.col("comp").alias(f"{c}_comp")), c, "left").withColumn(f"{c}_comp", F.coalesce(f"{c}_comp", c))
-        stars = saved(self.spark, own(own(found.where("hubbed"), "a"), "b"), "stars")
-        asked = F.expr(f"greatest(1, greatest(ceil({PERCENT} * b_n / 100), ceil({PERCENT} * (a_n + b_n) / {100 + PERCENT})) - common)")
-        probes = stars.where("a_comp != b_comp").withColumn("take", F.size("rest") - asked + 1).where("take > 0")
-        stored = stars.join(probes.select("a").distinct(), "a", "left_semi").select("a", "b", "b_n", "b_comp", F.explode("rest").alias("s"))
-        often = stored.groupBy("a", "s").agg(F.count("*").alias("often")).where("often > 1")
-        # Leftovers that no other member has can't meet one, but count in the number to take: they are the rarest.
-        listed = probes.select("a", "b", "b_n", "b_comp", "take", F.size("rest").alias("size"), F.explode("rest").alias("s")).join(often, ["a", "s"])
-        order = Window.partitionBy("a", "b").orderBy("often", "s")
-        listed = listed.withColumns({"rank": F.row_number().over(order), "shared": F.count("*").over(Window.partitionBy("a", "b"))})
-        listed = listed.where(F.col("size") - F.col("shared") + F.col("rank") <= F.col("take"))
-        p, q = listed.alias("p"), stored.alias("q")
-        meet = p.join(q, (F.col("p.a") == F.col("q.a")) & (F.col("p.s") == F.col("q.s")) & (F.col("p.b_comp") != F.col("q.b_comp")) & _can_link("p.b_n", "q.b_n"))
-        more = meet.select(F.least("p.b", "q.b").alias("a"), F.greatest("p.b", "q.b").alias("b")).distinct()
-        more = saved(self.spark, more.join(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "open-pairs")
+        stars = saved(self.spark, self.shifted(found.where("kind > 0")), "stars")
+        inner = saved(self.spark, outside(stars, comps).where("asked <= 0").select("b").distinct(), "inner")
+        if not inner.isEmpty():
+            # Members mostly in a centre that they do not link to: the other centres of their lists come next.
+            more = members.join(inner.withColumnRenamed("b", "cls"), "cls", "left_semi").join(first, "key").where("a != cls").select("a", F.col("cls").alias("b")).distinct()
+            links = links.union(linking(self.overlaps(more)))
+            comps = components(links)
+            inner = saved(self.spark, outside(stars, comps).where("asked <= 0").select("b").distinct(), "inner")
+        hubs = None
+        if not inner.isEmpty():
+            core = stars.where("asked <= 0").select("b").distinct()
+            hubs = self.hubs(members, inner, core)
+            links = links.union(linking(hubs))
+            comps = components(links)
+        probes = outside(stars, comps).where("asked > 0")
+        more = met(probes, stars.join(probes.select("a").distinct(), "a", "left_semi"), comps)
+        if hubs is not None:
+            open_stars = stars.join(inner, "b", "left_semi")
+            others = stars.where("asked > 0").join(open_stars.select("a").distinct(), "a", "left_semi")
+            more = more.union(met(others, open_stars, comps))
+            probes = owned(owned(hubs, comps, "a"), comps, "b").where("a_comp != b_comp").drop("a_comp", "b_comp")
+            more = more.union(met(probes.where("inner"), hubs, comps)).union(met(probes.where("not inner"), hubs.where("inner"), comps))
+        more = saved(self.spark, more.distinct().join(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "open-pairs")
         if not more.isEmpty():
             comps = components(links.union(linking(self.overlaps(more))))
         return comps
 
+    def shifted(self, stars: DataFrame) -> DataFrame:
+        """Stars whose centre a is taken with the leftovers that are frequent among its members; `asked` is what a member needs of any partner beyond that."""
+        often = stars.select("a", F.explode("rest").alias("s")).groupBy("a", "s").agg(F.count("*").alias("c")).where(F.col("c") > SHORT_LIST)
+        gained = often.groupBy("a").agg(F.collect_list("s").alias("gain"))  # at most the shingles of all members / SHORT_LIST
+        least = stars.groupBy("a").agg(F.least(F.min("b_n"), F.min("a_n")).alias("smallest"))
+        grown = stars.join(gained, "a", "left").join(least, "a").withColumn("kept", F.when(F.col("gain").isNull(), F.col("rest")).otherwise(F.array_except("rest", "gain")))
+        within = F.col("common") + F.size("rest") - F.size("kept")
+        asked = F.expr(f"greatest(ceil({PERCENT} * b_n / 100), ceil({PERCENT} * (b_n + smallest) / {100 + PERCENT}))") - within
+        return grown.select("a", "b", "b_n", F.col("kept").alias("rest"), asked.alias("asked"))
+
+    def hubs(self, members: DataFrame, inner: DataFrame, core: DataFrame) -> DataFrame:
+        """The core members of the inner members' lists, verified against the smallest sets of these lists."""
+        flagged = inner.select(F.col("b").alias("cls"))
+        lists = members.join(core.select(F.col("b").alias("cls")), "cls", "left_semi").join(members.join(flagged, "cls", "left_semi").select("key").distinct(), "key", "left_semi")
+        stars = self.overlaps(lists.where("cls != hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "true")
+        asked = F.expr(f"greatest(1, greatest(ceil({PERCENT} * b_n / 100), ceil({PERCENT} * (a_n + b_n) / {100 + PERCENT})) - common)")
+        return stars.withColumn("asked", asked).join(inner.withColumn("inner", F.lit(True)), "b", "left").withColumn("inner", F.coalesce("inner", F.lit(False)))
+
+
+def owned(df: DataFrame, comps: DataFrame, c: str) -> DataFrame:
+    """df with the component of its class c."""
+    return df.join(comps.select(F.col("cls").alias(c), F.col("comp").alias(f"{c}_comp")), c, "left").withColumn(f"{c}_comp", F.coalesce(f"{c}_comp", c))
+
+
+def outside(stars: DataFrame, comps: DataFrame) -> DataFrame:
+    """The members outside the most frequent component of their star."""
+    own = owned(stars, comps, "b")
+    sizes = own.groupBy("a", "b_comp").agg(F.count("*").alias("c"))
+    return own.join(sizes.groupBy("a").agg(F.max_by("b_comp", F.struct("c", "b_comp")).alias("main")), "a").where("b_comp != main").drop("main", "b_comp")
+
+
+def met(probes: DataFrame, stars: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a probe and a member of the same star in another component that share one of the probe's size - asked + 1 rarest leftovers."""
+    stored = owned(stars.select("a", "b", "b_n", F.explode("rest").alias("s")), comps, "b")
+    often = stored.groupBy("a", "s").agg(F.count("*").alias("often"))
+    # Leftovers that no member has can't meet one, but count in the number to take: they are the rarest.
+    probes = probes.withColumn("take", F.size("rest") - F.col("asked") + 1).where("take > 0")
+    listed = owned(probes.select("a", "b", "b_n", "take", F.size("rest").alias("size"), F.explode("rest").alias("s")), comps, "b").join(often, ["a", "s"])
+    order = Window.partitionBy("a", "b").orderBy("often", "s")
+    listed = listed.withColumns({"rank": F.row_number().over(order), "shared": F.count("*").over(Window.partitionBy("a", "b"))})
+    listed = listed.where(F.col("size") - F.col("shared") + F.col("rank") <= F.col("take"))
+    p, q = listed.alias("p"), stored.alias("q")
+    meet = p.join(q, (F.col("p.a") == F.col("q.a")) & (F.col("p.s") == F.col("q.s")) & (F.col("p.b_comp") != F.col("q.b_comp")) & _can_link("p.b_n", "q.b_n"))
+    return meet.select(F.least("p.b", "q.b").alias("a"), F.greatest("p.b", "q.b").alias("b")).distinct()
+
 
 def linking(found: DataFrame) -> DataFrame:
     return found.where(F.col("common") * 100 >= (F.col("a_n") + F.col("b_n") - F.col("common")) * PERCENT).select("a", "b")
