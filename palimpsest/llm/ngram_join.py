@@ -15,7 +15,8 @@ member x outside the list's most frequent component. Let C be the centre with al
 members. If x lies in C by less than it needs of any partner, it shares at least the difference with its partner outside
 C; so x is joined again by as many of its rarest shingles outside C as that number allows, with what all members have
 outside C. Other members x are verified against the list's next centres. For those that are still outside, partners that
-lie in C by less than they need are joined from their side; the partners that do not are verified, as x is, against the
+lie in C by less than they need are joined from their side, and those that share any shingle with x outside C by it. Of
+the other pairs only those can link whose members both lie in C by the overlap they need; these are verified against the
 smallest set p of the list: of a pair one does not link to p, and needs of its partner, which is no smaller than p, at
 least what it would need of p, so both share the rest outside p. A group of many copies so costs
 links in its number, and no pair that may join two components is left unverified: the result is exact, whatever is
@@ -379,7 +380,7 @@ class Join:
             inner = saved(self.spark, outside(stars, comps).where("asked <= 0").select("b").distinct(), "inner")
         hubs = None
         if not inner.isEmpty():
-            core = stars.where("asked <= 0").select("b").distinct()
+            core = stars.where("asked <= 0").groupBy("b").agg(F.max("within").alias("within"))
             hubs = self.hubs(members, inner, core)
             links = links.union(linking(hubs))
             comps = components(links)
@@ -388,9 +389,9 @@ class Join:
         if hubs is not None:
             open_stars = stars.join(inner, "b", "left_semi")
             others = stars.where("asked > 0").join(open_stars.select("a").distinct(), "a", "left_semi")
-            more = more.union(met(others, open_stars, comps))
+            more = more.union(met(others, open_stars, comps)).union(met(open_stars.withColumn("asked", F.lit(1)), stars.where("asked <= 0"), comps))
             probes = owned(owned(hubs, comps, "a"), comps, "b").where("a_comp != b_comp").drop("a_comp", "b_comp")
-            more = more.union(met(probes.where("inner"), hubs, comps)).union(met(probes.where("not inner"), hubs.where("inner"), comps))
+            more = more.union(met(probes.where("inner"), hubs, comps, True)).union(met(probes.where("not inner"), hubs.where("inner"), comps, True))
         more = saved(self.spark, more.distinct().join(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "open-pairs")
         if not more.isEmpty():
             comps = components(links.union(linking(self.overlaps(more))))
@@ -404,15 +405,15 @@ class Join:
         grown = stars.join(gained, "a", "left").join(least, "a").withColumn("kept", F.when(F.col("gain").isNull(), F.col("rest")).otherwise(F.array_except("rest", "gain")))
         within = F.col("common") + F.size("rest") - F.size("kept")
         asked = F.expr(f"greatest(ceil({PERCENT} * b_n / 100), ceil({PERCENT} * (b_n + smallest) / {100 + PERCENT}))") - within
-        return grown.select("a", "b", "b_n", F.col("kept").alias("rest"), asked.alias("asked"))
+        return grown.select("a", "b", "b_n", F.col("kept").alias("rest"), asked.alias("asked"), within.alias("within"))
 
     def hubs(self, members: DataFrame, inner: DataFrame, core: DataFrame) -> DataFrame:
         """The core members of the inner members' lists, verified against the smallest sets of these lists."""
         flagged = inner.select(F.col("b").alias("cls"))
-        lists = members.join(core.select(F.col("b").alias("cls")), "cls", "left_semi").join(members.join(flagged, "cls", "left_semi").select("key").distinct(), "key", "left_semi")
+        lists = members.join(core, members["cls"] == core["b"], "left_semi").join(members.join(flagged, "cls", "left_semi").select("key").distinct(), "key", "left_semi")
         stars = self.overlaps(lists.where("cls != hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "true")
         asked = F.expr(f"greatest(1, greatest(ceil({PERCENT} * b_n / 100), ceil({PERCENT} * (a_n + b_n) / {100 + PERCENT})) - common)")
-        return stars.withColumn("asked", asked).join(inner.withColumn("inner", F.lit(True)), "b", "left").withColumn("inner", F.coalesce("inner", F.lit(False)))
+        return stars.withColumn("asked", asked).join(core, "b").join(inner.withColumn("inner", F.lit(True)), "b", "left").withColumn("inner", F.coalesce("inner", F.lit(False)))
 
 
 def owned(df: DataFrame, comps: DataFrame, c: str) -> DataFrame:
@@ -427,18 +428,22 @@ def outside(stars: DataFrame, comps: DataFrame) -> DataFrame:
     return own.join(sizes.groupBy("a").agg(F.max_by("b_comp", F.struct("c", "b_comp")).alias("main")), "a").where("b_comp != main").drop("main", "b_comp")
 
 
-def met(probes: DataFrame, stars: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a probe and a member of the same star in another component that share one of the probe's size - asked + 1 rarest leftovers."""
-    stored = owned(stars.select("a", "b", "b_n", F.explode("rest").alias("s")), comps, "b")
+def met(probes: DataFrame, stars: DataFrame, comps: DataFrame, inside: bool = False) -> DataFrame:
+    """Pairs (a, b) of a probe and a member of the same star in another component that share one of the probe's size - asked + 1 rarest leftovers; with `inside` only those that may link by what both have `within` a centre."""
+    columns = ["a", "b", "b_n", *["within"] * inside]
+    stored = owned(stars.select(*columns, F.explode("rest").alias("s")), comps, "b")
     often = stored.groupBy("a", "s").agg(F.count("*").alias("often"))
     # Leftovers that no member has can't meet one, but count in the number to take: they are the rarest.
     probes = probes.withColumn("take", F.size("rest") - F.col("asked") + 1).where("take > 0")
-    listed = owned(probes.select("a", "b", "b_n", "take", F.size("rest").alias("size"), F.explode("rest").alias("s")), comps, "b").join(often, ["a", "s"])
+    listed = owned(probes.select(*columns, "take", F.size("rest").alias("size"), F.explode("rest").alias("s")), comps, "b").join(often, ["a", "s"])
     order = Window.partitionBy("a", "b").orderBy("often", "s")
     listed = listed.withColumns({"rank": F.row_number().over(order), "shared": F.count("*").over(Window.partitionBy("a", "b"))})
     listed = listed.where(F.col("size") - F.col("shared") + F.col("rank") <= F.col("take"))
     p, q = listed.alias("p"), stored.alias("q")
-    meet = p.join(q, (F.col("p.a") == F.col("q.a")) & (F.col("p.s") == F.col("q.s")) & (F.col("p.b_comp") != F.col("q.b_comp")) & _can_link("p.b_n", "q.b_n"))
+    near = _can_link("p.b_n", "q.b_n")
+    if inside:
+        near &= F.expr(f"least(p.within, q.within) * {100 + PERCENT} >= {PERCENT} * (p.b_n + q.b_n)")
+    meet = p.join(q, (F.col("p.a") == F.col("q.a")) & (F.col("p.s") == F.col("q.s")) & (F.col("p.b_comp") != F.col("q.b_comp")) & near)
     return meet.select(F.least("p.b", "q.b").alias("a"), F.greatest("p.b", "q.b").alias("b")).distinct()
 
 
