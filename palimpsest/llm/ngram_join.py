@@ -32,12 +32,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain, combinations
+from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.runtime import arrow_rows, saved, ship, table
@@ -99,11 +100,23 @@ _words = Words()
 _TRUE = np.ones(1, bool)
 
 
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, list[int]]:
+    """Hashes of the words of all texts, and each text's number of words; each distinct word is looked up once."""
+    data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    strings = pa.array(data, pa.large_binary()).cast(options=pc.CastOptions(pa.large_string(), allow_invalid_utf8=True))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(strings))
+    words, ends = lists.flatten(), lists.offsets.to_numpy()
+    filled = pc.binary_length(words).to_numpy() > 0
+    before = np.concatenate([[0], np.cumsum(filled)])[ends - ends[0]]
+    coded = words.dictionary_encode()
+    found = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    hashes = np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
+    return hashes[coded.indices.to_numpy()[filled]], np.diff(before).tolist()
+
+
 def shingle_sets(texts: list[str | None], width: int = SHINGLE) -> list[np.ndarray]:
     """Each text's sorted distinct shingle hashes."""
-    words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]  # bytes.lower() folds A-Z alone
-    n = [len(w) for w in words]
-    flat = np.fromiter(map(_words.__getitem__, chain.from_iterable(words)), np.uint64, sum(n))
+    flat, n = word_hashes(texts)
     k = max(0, len(flat) - width + 1)
     grams = np.zeros(k, np.uint64)
     for i in range(width):
@@ -368,25 +381,21 @@ class Join:
         members = saved(self.spark, heavy.join(long, "key", "left_semi").select("key", "cls", "n", "hub", F.floor(F.log(BAND, "n")).cast("int").alias("band")), "long-lists")
         pairs, first = self.central(members)
         found = self.overlaps(near.union(pairs).groupBy("a", "b").agg(F.bit_or("kind").alias("kind")), "kind > 0")
-        links = self.light_links().union(linking(found))
-        comps = components(links)
+        comps = components(self.light_links().union(linking(found)))
         stars = saved(self.spark, self.shifted(found.where("kind > 0")), "stars")
         inner = saved(self.spark, outside(stars, comps).where("asked <= 0").select("b").distinct(), "inner")
-        if not inner.isEmpty():
-            # Members mostly in a centre that they do not link to: the other centres of their lists come next.
-            more = members.join(inner.withColumnRenamed("b", "cls"), "cls", "left_semi").join(first, "key").where("a != cls").select("a", F.col("cls").alias("b")).distinct()
-            links = links.union(linking(self.overlaps(more)))
-            comps = components(links)
-            inner = saved(self.spark, outside(stars, comps).where("asked <= 0").select("b").distinct(), "inner")
         hubs = None
         if not inner.isEmpty():
+            # Members mostly in a centre that they do not link to: the other centres of their lists and the hubs come next.
+            more = members.join(inner.withColumnRenamed("b", "cls"), "cls", "left_semi").join(first, "key").where("a != cls").select("a", F.col("cls").alias("b"))
             core = stars.where("asked <= 0").groupBy("b").agg(F.max("within").alias("within"))
-            hubs = self.hubs(members, inner, core)
-            links = links.union(linking(hubs))
-            comps = components(links)
+            hubs = self.overlaps(more.withColumn("kind", F.lit(0)).union(self.hubs(members, inner, core)).groupBy("a", "b").agg(F.max("kind").alias("kind")), "kind > 0")
+            comps = components(linking(hubs), comps)
+            inner = saved(self.spark, outside(stars, comps).where("asked <= 0").select("b").distinct(), "inner")
         probes = outside(stars, comps).where("asked > 0")
         more = met(probes, stars.join(probes.select("a").distinct(), "a", "left_semi"), comps)
-        if hubs is not None:
+        if hubs is not None and not inner.isEmpty():
+            hubs = saved(self.spark, self.as_stars(hubs.where("kind > 0"), inner, core), "hubs")
             open_stars = stars.join(inner, "b", "left_semi")
             others = stars.where("asked > 0").join(open_stars.select("a").distinct(), "a", "left_semi")
             more = more.union(met(others, open_stars, comps)).union(met(open_stars.withColumn("asked", F.lit(1)), stars.where("asked <= 0"), comps))
@@ -394,7 +403,7 @@ class Join:
             more = more.union(met(probes.where("inner"), hubs, comps, True)).union(met(probes.where("not inner"), hubs.where("inner"), comps, True))
         more = saved(self.spark, more.distinct().join(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "open-pairs")
         if not more.isEmpty():
-            comps = components(links.union(linking(self.overlaps(more))))
+            comps = components(linking(self.overlaps(more)), comps)
         return comps
 
     def shifted(self, stars: DataFrame) -> DataFrame:
@@ -408,12 +417,14 @@ class Join:
         return grown.select("a", "b", "b_n", F.col("kept").alias("rest"), asked.alias("asked"), within.alias("within"))
 
     def hubs(self, members: DataFrame, inner: DataFrame, core: DataFrame) -> DataFrame:
-        """The core members of the inner members' lists, verified against the smallest sets of these lists."""
-        flagged = inner.select(F.col("b").alias("cls"))
-        lists = members.join(core, members["cls"] == core["b"], "left_semi").join(members.join(flagged, "cls", "left_semi").select("key").distinct(), "key", "left_semi")
-        stars = self.overlaps(lists.where("cls != hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "true")
+        """Pairs (a, b, kind) of the core members of the inner members' lists with the smallest sets of these lists."""
+        keys = members.join(inner.withColumnRenamed("b", "cls"), "cls", "left_semi").select("key").distinct()
+        lists = members.join(core, members["cls"] == core["b"], "left_semi").join(keys, "key", "left_semi")
+        return lists.where("cls != hub").select(F.col("hub").alias("a"), F.col("cls").alias("b"), F.lit(1).alias("kind"))
+
+    def as_stars(self, hubs: DataFrame, inner: DataFrame, core: DataFrame) -> DataFrame:
         asked = F.expr(f"greatest(1, greatest(ceil({PERCENT} * b_n / 100), ceil({PERCENT} * (a_n + b_n) / {100 + PERCENT})) - common)")
-        return stars.withColumn("asked", asked).join(core, "b").join(inner.withColumn("inner", F.lit(True)), "b", "left").withColumn("inner", F.coalesce("inner", F.lit(False)))
+        return hubs.withColumn("asked", asked).join(core, "b").join(inner.withColumn("inner", F.lit(True)), "b", "left").withColumn("inner", F.coalesce("inner", F.lit(False)))
 
 
 def owned(df: DataFrame, comps: DataFrame, c: str) -> DataFrame:
@@ -451,9 +462,11 @@ def linking(found: DataFrame) -> DataFrame:
     return found.where(F.col("common") * 100 >= (F.col("a_n") + F.col("b_n") - F.col("common")) * PERCENT).select("a", "b")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(cls, comp): the smallest class of each connected component, by alternating large and small stars."""
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(cls, comp): the smallest class of each connected component of the links and of known components, by alternating large and small stars."""
     spark = links.sparkSession
+    if known is not None:
+        links = links.union(known.select("cls", "comp"))
     edges = saved(spark, links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
     state = None
     while True:
@@ -462,9 +475,9 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
-        edges = saved(spark, small.select("e.a", "e.b").where("a != b").distinct(), "edges")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == state:
+        seen = Observation()
+        edges = saved(spark, small.select("e.a", "e.b").where("a != b").distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")), "edges")
+        if (now := (seen.get["n"], seen.get["s"])) == state:
             break
         state = now
     roots = edges.select(F.col("b").alias("cls")).distinct().select("cls", F.col("cls").alias("comp"))
