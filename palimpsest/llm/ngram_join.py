@@ -292,6 +292,15 @@ def _sets(filter_bits):
     return run
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete saved tables whose successors are written."""
+    for df in tables:
+        if files := df.inputFiles():
+            jvm = df.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def _can_link(a: str, b: str):
     return (F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT)
 
@@ -336,11 +345,13 @@ class Join:
         sets = sets.dropDuplicates(["cls"])
         one = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("s")), "a")
         two = one.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("t")), "b")
-        return saved(
+        out = saved(
             self.spark,
             two.select(*pairs.columns, F.size("s").alias("a_n"), F.size("t").alias("b_n"), F.size(F.array_intersect("s", "t")).alias("common"), F.expr(f"case when {rest} then array_except(t, s) end").alias("rest")),
             "overlaps",
         )
+        dropped(pairs)
+        return out
 
     def central(self, members: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Pairs (a, b, kind) of each member of a long list with its centre (kind 2) and those of its size band and the next one (kind 0), and (key, a) of the CENTRES first centres.
@@ -382,6 +393,7 @@ class Join:
         pairs, first = self.central(members)
         found = self.overlaps(near.union(pairs).groupBy("a", "b").agg(F.bit_or("kind").alias("kind")), "kind > 0")
         comps = components(self.light_links().union(linking(found)))
+        dropped(self.lists)
         stars = saved(self.spark, self.shifted(found.where("kind > 0")), "stars")
         inner = saved(self.spark, outside(stars, comps).where("asked <= 0").select("b").distinct(), "inner")
         hubs = None
@@ -475,13 +487,16 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
-        seen = Observation()
+        seen, before = Observation(), edges
         edges = saved(spark, small.select("e.a", "e.b").where("a != b").distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")), "edges")
+        dropped(before)
         if (now := (seen.get["n"], seen.get["s"])) == state:
             break
         state = now
     roots = edges.select(F.col("b").alias("cls")).distinct().select("cls", F.col("cls").alias("comp"))
-    return saved(spark, edges.select(F.col("a").alias("cls"), F.col("b").alias("comp")).union(roots), "components")
+    out = saved(spark, edges.select(F.col("a").alias("cls"), F.col("b").alias("comp")).union(roots), "components")
+    dropped(edges)
+    return out
 
 
 def linked(docs: DataFrame) -> DataFrame:
