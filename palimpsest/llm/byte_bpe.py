@@ -27,33 +27,34 @@ from palimpsest.runtime import table
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LONG = 512
 #: Bytes of pre-tokens in one recursive query, and entries of a worker's caches; both only bound memory.
-CHUNK, ENTRIES = 250_000, 300_000
+CHUNK, ENTRIES = 250_000, 400_000
 #: Where no white space meets other white space, each single space or newline is a pre-token boundary.
 UNEVEN = re.compile(r"\s\s|\A\s|\s\Z")
 
 STATES = """
-with recursive state(it, g, tok) as (
-  select 0, g, tok from start_rows
+with recursive state(done, g, tok, len) as (
+  select false, g, tok, 1::bigint from start_rows
   union all
-  select it + 1, g, tok from (
+  select done, g, tok, len from (
     with pairs as (
-      select it, g, tok, lead(g) over o as next_g, lead(tok) over o as next_tok from state window o as (order by g)
+      select g, tok, len, lead(g) over o as next_g, lead(tok) over o as next_tok, lead(len) over o as next_len
+      from state where not done window o as (order by g)
     ), ranked as (
-      select p.it, p.g, p.tok, m.rank
+      select p.g, p.tok, p.len, p.next_len, m.rank
       from pairs p left join merges m on m.pair = ((p.tok << 20) | p.next_tok) and (p.next_g >> 20) = (p.g >> 20)
     ), best as (
-      select g >> 20 as w, min((rank << 20) | (g & 1048575)) as b from ranked where rank is not null group by 1
+      select g >> 20 as w, min((rank << 40) | ((g & 1048575) << 20) | len) as b from ranked group by 1
     ), hit as (
-      select w, (w << 20) | (b & 1048575) as g, b >> 20 as rank from best
+      select w, b >> 40 as rank, (w << 20) | ((b >> 20) & 1048575) as g,
+             (w << 20) | (((b >> 20) & 1048575) + (b & 1048575)) as gone
+      from best
     )
-    select r.it, r.g, case when r.g = h.g then h.rank else r.tok end as tok,
-           lag(r.g = h.g) over (order by r.g) as merged
-    from ranked r join hit h on h.w = (r.g >> 20)
-  ) where merged is null or not merged
+    select h.rank is null as done, r.g, case when r.g = h.g then h.rank else r.tok end as tok,
+           case when r.g = h.g then r.len + r.next_len else r.len end as len
+    from ranked r join hit h on h.w = (r.g >> 20) where h.gone is null or r.g <> h.gone
+  )
 )
-select w, list(tok order by g) as ids
-from (select g >> 20 as w, g, tok, it, max(it) over (partition by g >> 20) as last from state)
-where it = last group by w order by w
+select g >> 20 as w, list(tok order by g) as ids from state where done group by 1 order by 1
 """
 
 STEP = """
@@ -94,6 +95,24 @@ def ranks_of(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a}
 
 
+class Cache:
+    """Entries in two generations: as one fills, what was not asked for since the last one filled goes."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def known(self, keys: set[str]) -> dict[str, bytes]:
+        young, old = self.young, self.old
+        out = {k: young[k] for k in keys if k in young}
+        return out | {k: old[k] for k in keys if k in old}
+
+    def add(self, entries: dict[str, bytes]) -> None:
+        self.young.update((k, v) for k, v in entries.items() if len(k) <= LONG)
+        if 2 * len(self.young) > ENTRIES:
+            self.young, self.old = {}, self.young
+
+
 class Codec:
     """A worker's DuckDB connection with the merge table and the vocabulary, and its bounded caches."""
 
@@ -110,8 +129,7 @@ class Codec:
         self.db.execute("create table merges as select * from given_merges; create table vocab as select * from given_vocab")
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         self.split = regex.compile(pattern).findall
-        self.units: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.units, self.words = Cache(), Cache()
 
     def contract(self, words: list[bytes]) -> list[bytes]:
         """Ids of each pre-token as packed int32, by the recursive query."""
@@ -167,27 +185,19 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         lists = [self.unit_list(t) if t else [] for t in texts]
-        missing = {u for x in lists for u in x} - self.units.keys()
-        if len(self.units) + len(missing) > ENTRIES:
-            keep = {u for x in lists for u in x} - missing
-            self.units = {u: self.units[u] for u in keep}
-        parts = {u: self.split(u) for u in missing}
-        fresh = {w for x in parts.values() for w in x} - self.words.keys()
-        if len(self.words) + len(fresh) > ENTRIES:
-            keep = {w for x in parts.values() for w in x} - fresh
-            self.words = {w: self.words[w] for w in keep}
-        data = {w: w.encode("utf-8", "surrogatepass") for w in fresh}
-        short = [w for w in fresh if len(data[w]) <= LONG]
-        self.words.update(zip(short, self.contract([data[w] for w in short]), strict=True))
-        for w in fresh:
-            if len(data[w]) > LONG:
-                self.words[w] = self.contract_long(data[w])
-        self.units.update((u, b"".join(map(self.words.__getitem__, x))) for u, x in parts.items())
-        out = [np.frombuffer(b"".join(map(self.units.__getitem__, x)), dtype=np.int32) for x in lists]
-        for cache in (self.units, self.words):
-            for u in [u for u in (missing if cache is self.units else fresh) if len(u) > LONG]:
-                cache.pop(u, None)
-        return out
+        wanted = set().union(*lists)
+        units = self.units.known(wanted)
+        parts = {u: self.split(u) for u in wanted - units.keys()}
+        asked = set().union(*parts.values())
+        words = self.words.known(asked)
+        fresh = {w: w.encode("utf-8", "surrogatepass") for w in asked - words.keys()}
+        short = [w for w, data in fresh.items() if len(data) <= LONG]
+        words.update(zip(short, self.contract([fresh[w] for w in short]), strict=True))
+        words.update((w, self.contract_long(data)) for w, data in fresh.items() if len(data) > LONG)
+        units.update((u, b"".join(map(words.__getitem__, x))) for u, x in parts.items())
+        self.words.add(words)
+        self.units.add(units)
+        return [np.frombuffer(b"".join(map(units.__getitem__, x)), dtype=np.int32) for x in lists]
 
     def decode(self, ids: pa.Array) -> list[bytes | None]:
         """Bytes of each list of ids, by the ordered aggregation; null stays null."""
