@@ -13,10 +13,11 @@ memory is linear in its length.
 from __future__ import annotations
 
 import base64
-import re
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,8 +29,11 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 LONG = 512
 #: Bytes of pre-tokens in one recursive query, and entries of a worker's caches; both only bound memory.
 CHUNK, ENTRIES = 250_000, 400_000
-#: Where no white space meets other white space, each single space or newline is a pre-token boundary.
-UNEVEN = re.compile(r"\s\s|\A\s|\s\Z")
+#: White space; where none meets other white space or an end of the text, each single space or newline is a pre-token boundary.
+BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+UNEVEN = rf"{BLANK}{BLANK}|\A{BLANK}|{BLANK}\z"
+#: Mark between units; UTF-8 never holds this byte.
+MARK = b"\xff"
 
 STATES = """
 with recursive state(done, g, tok, len) as (
@@ -102,7 +106,7 @@ class Cache:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def known(self, keys: set[str]) -> dict[str, bytes]:
+    def known(self, keys: Iterable[str]) -> dict[str, bytes]:
         young, old = self.young, self.old
         out = {k: young[k] for k in keys if k in young}
         return out | {k: old[k] for k in keys if k in old}
@@ -120,17 +124,18 @@ class Codec:
         import duckdb
         import regex
 
-        ranks = ranks_of(raw)
+        self.ranks, self.merging = ranks_of(raw), False
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
-        merges = merge_table(ranks)
-        vocab = pa.table({"id": pa.array(ranks.values(), pa.int64()), "hex": [t.hex() for t in ranks]})
-        self.db.register("given_merges", merges)
-        self.db.register("given_vocab", vocab)
-        self.db.execute("create table merges as select * from given_merges; create table vocab as select * from given_vocab")
-        self.byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64)
+        self.create("vocab", pa.table({"id": pa.array(self.ranks.values(), pa.int64()), "hex": [t.hex() for t in self.ranks]}))
+        self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         self.split = regex.compile(pattern).findall
         self.units, self.words = Cache(), Cache()
 
+    def create(self, name: str, rows: pa.Table) -> None:
+        self.db.register("given", rows)
+        self.db.execute(f"create table {name} as select * from given")
+        self.db.unregister("given")
+
     def contract(self, words: list[bytes]) -> list[bytes]:
         """Ids of each pre-token as packed int32, by the recursive query."""
         out: list[bytes] = []
@@ -170,41 +175,51 @@ class Codec:
         found = self.db.sql("select tok from long_state order by pos").to_arrow_table()["tok"].to_numpy()
         return found.astype(np.int32).tobytes()
 
-    def unit_list(self, text: str) -> list[str]:
-        """Pieces of the text that begin and end where pre-tokens do."""
-        if UNEVEN.search(text):
-            return self.split(text)
-        out: list[str] = []
-        for n, line in enumerate(text.split("\n")):
-            if n:
-                out.append("\n")
-            first, *rest = line.split(" ")
-            out.append(first)
-            out += [" " + x for x in rest]
-        return out
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        lists = [self.unit_list(t) if t else [] for t in texts]
-        wanted = set().union(*lists)
+    def unit_lists(self, texts: pa.Array) -> pa.Array:
+        """Lists of pieces of the texts that begin and end where pre-tokens do."""
+        uneven = pc.match_substring_regex(texts, UNEVEN)
+        marked = pc.replace_substring(texts.cast(pa.large_binary()), b" ", MARK + b" ")
+        marked = pc.replace_substring(marked, b"\n", MARK + b"\n" + MARK)
+        marked = pc.replace_substring_regex(marked, b"([A-Za-z])([.,;:!?])", b"\\1" + MARK + b"\\2")  # a run of letters ends there
+        slow = [MARK.join(x.encode() for x in self.split(t)) for t in texts.filter(uneven).to_pylist()]
+        return pc.split_pattern(pc.replace_with_mask(marked, uneven, pa.array(slow, pa.large_binary())), MARK)
+
+    def unit_ids(self, wanted: list[str]) -> list[bytes]:
+        """Packed ids of each unit, from the caches or by contraction."""
+        if not self.merging:  # a worker that only decodes never needs them
+            self.create("merges", merge_table(self.ranks))
+            self.merging = True
         units = self.units.known(wanted)
-        parts = {u: self.split(u) for u in wanted - units.keys()}
+        parts = {u: self.split(u) for u in wanted if u not in units}
         asked = set().union(*parts.values())
         words = self.words.known(asked)
-        fresh = {w: w.encode("utf-8", "surrogatepass") for w in asked - words.keys()}
+        fresh = {w: w.encode() for w in asked if w not in words}
         short = [w for w, data in fresh.items() if len(data) <= LONG]
         words.update(zip(short, self.contract([fresh[w] for w in short]), strict=True))
         words.update((w, self.contract_long(data)) for w, data in fresh.items() if len(data) > LONG)
         units.update((u, b"".join(map(words.__getitem__, x))) for u, x in parts.items())
         self.words.add(words)
         self.units.add(units)
-        return [np.frombuffer(b"".join(map(units.__getitem__, x)), dtype=np.int32) for x in lists]
+        return list(map(units.__getitem__, wanted))
+
+    def encode(self, texts: list[str | None]) -> pa.ListArray:
+        """Ids of each text."""
+        lists = self.unit_lists(pa.array([t or "" for t in texts], pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        found = self.unit_ids(coded.dictionary.cast(pa.large_string()).to_pylist())
+        every, size = np.frombuffer(b"".join(found), np.int32), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        code = coded.indices.to_numpy()
+        count = size[code]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        at = np.repeat((np.cumsum(size) - size)[code] - ends[:-1], count) + np.arange(ends[-1])
+        return pa.ListArray.from_arrays(pa.array(ends[lists.offsets.to_numpy()], pa.int32()), pa.array(every[at], pa.int32()))
 
     def decode(self, ids: pa.Array) -> list[bytes | None]:
         """Bytes of each list of ids, by the ordered aggregation; null stays null."""
         if isinstance(ids, pa.ChunkedArray):
             ids = ids.combine_chunks()
         out: list[bytes | None] = [b"" if ok else None for ok in ids.is_valid().to_pylist()]
-        lens = np.array([n or 0 for n in pa.compute.list_value_length(ids).to_pylist()], dtype=np.int64)
+        lens = np.array([n or 0 for n in pc.list_value_length(ids).to_pylist()], dtype=np.int64)
         flat = ids.flatten().to_numpy(zero_copy_only=False)
         doc = np.repeat(np.arange(len(lens)), lens)
         for a in range(0, len(flat), 4_000_000):
@@ -238,9 +253,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None
         own = codec(raw.value, pattern)
 
         def work(values):
-            found = own.encode(values[text].to_pylist())
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found), pa.int32()))]
+            return [own.encode(values[text].to_pylist())]
 
         return work
 
