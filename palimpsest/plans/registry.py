@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import digests, layouts, paths, versions
-from palimpsest.operators import integrity, mutate, state
+from palimpsest.operators import documents, integrity, mutate, state
 from palimpsest.runtime import ship, table
 from palimpsest.sources import inventory, oplog
 
@@ -411,3 +411,25 @@ def inventory_parse(spark, d):
 @query(f"with {TURNS} select object_id::varchar object_id, digest, 'v' || min(vnum) || '/content/' || arg_min(path, (vnum, path)) content_path, min(vnum)::bigint content_vnum from turns group by object_id, digest")
 def inventory_manifest(spark, d):
     return inventory.manifest_rows(inventory.parse(inventory.build(turns(spark, d))))
+
+
+#: Faults planted by an object's id modulo 16: what stands in the document, what takes its place, the codes that follow.
+FAULTS = [
+    (1, '"head":"v', '"head_":"v', {"E102": 1}), (2, '"id":"', '"id":5,"message":"', {"E037": 1, "E102": 1}),
+    (3, '{"id"', '{"id', {"E033": 1}), (4, '"digestAlgorithm":"sha256"', '"digestAlgorithm":"md5"', {"E025": 1}),
+    (5, "/spec/#inventory", "/spec/#other", {"E038": 1}), (6, '"digestAlgorithm":"sha256"', '"digestAlgorithm":"sha512","contentDirectory":"a/b"', {"E017": 1}),
+    (7, '"digestAlgorithm":"sha256",', "", {"E036": 1}), (8, '"manifest":{', '"manifest":{"ff":["v1/content/x"],', {"E107": 1}),
+    (9, '"manifest":{', '"manifest":{"ff":"v1/content/x",', {"E092": 1}), (10, '"head":"v', '"head":"w', {"E104": 1, "E010": 1, "E040": 1}),
+]
+#: W004 where sha256 stays, W005 as ids are numbers, W008 for each version; none where the shape is wrong.
+_FAULT_SQL = " union all ".join(f"select object_id, '{c}' code, {n}::bigint n from o where k = {k}" for k, _, _, codes in FAULTS for c, n in codes.items())
+
+
+@query(f"""with o as (select conv_id::varchar object_id, conv_id % 16 k, count(distinct turn) versions from conversations group by 1, 2)
+{_FAULT_SQL} union all select object_id, 'W005', 1 from o where k not in (1, 2, 3, 9)
+union all select object_id, 'W004', 1 from o where k not in (1, 2, 3, 4, 6, 7, 9) union all select object_id, 'W008', versions from o where k not in (1, 2, 3, 9)""")
+def document_issues(spark, d):
+    docs, k, raw = inventory.build(turns(spark, d)), F.col("object_id").cast("long") % 16, F.col("raw")
+    for n, old, new, _ in FAULTS:
+        raw = F.when(k == n, F.replace(F.col("raw"), F.lit(old), F.lit(new))).otherwise(raw)
+    return documents.issues(docs.select("object_id", raw.alias("raw")))
