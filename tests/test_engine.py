@@ -95,15 +95,19 @@ def test_oracle(spark, name):
 GOOD = '{"id":"urn:x","type":"https://ocfl.io/1.1/spec/#inventory","digestAlgorithm":"sha512","head":"v1","manifest":{"ab":["v1/content/a"]},"versions":{"v1":{"created":"2020-01-01T00:00:00Z","message":"m","user":{"name":"u","address":"mailto:u@x"},"state":{"ab":["a"]}}}}'
 
 
-@pytest.mark.parametrize("old, new, want", [
+#: What stands in the document, what takes its place, and the issues that follow.
+BREACHES = [
     ("", "", {}), ("{", "", {"E033": 1}), ('"urn:x"', "7", {"E037": 1}), ('"urn:x"', "null", {"E036": 1}), ('"urn:x"', '"x"', {"W005": 1}),
     ('"v1":{"created"', '"v1":null,"v2":{"created"', {"E047": 1}), ('["a"]', '[1,null]', {"E051": 2}), ('["a"]', 'null', {"E050": 1}),
     ('"message":"m"', '"message":1,"x":2', {"E094": 1, "E102": 1}), ('"2020-01-01T00:00:00Z"', '"2020-01-01"', {"E049": 1}),
     ('"name":"u"', '"name":" "', {"E054": 1}), ('"state":{"ab"', '"state":{"cd"', {"E050": 1, "E107": 1}), ('"v1":{', '"v02":{', {"E010": 2, "E040": 1}),
     ('"versions":{', '"versions":[],"y":{', {"E044": 1, "E102": 1}), ('"manifest":{', '"manifest":null,"fixity":{', {"E106": 1}),
-])
-def test_document_issues(spark, old, new, want):
-    raw = GOOD.replace(old, new, 1) if old else GOOD
-    df = spark.createDataFrame([("o", raw), (None, None)], "object_id string, raw string")
+]
+
+
+def test_document_issues(spark):
+    rows = [(old + new, GOOD.replace(old, new, 1)) for old, new, _ in BREACHES]
+    df = spark.createDataFrame([*rows, (None, None)], "object_id string, raw string")
     got = {(r.object_id, r.code): r.n for r in documents.issues(df).collect()}
-    assert got == {("o", c): n for c, n in want.items()} | {(None, "E033"): 1}
+    assert got == {(old + new, c): n for old, new, want in BREACHES for c, n in want.items()} | {(None, "E033"): 1}
+    assert documents.issues(df.limit(0)).isEmpty()
