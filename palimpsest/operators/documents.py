@@ -88,7 +88,7 @@ def _number_codes(version: Column) -> tuple[Column, Column]:
 
 
 def value_issues(docs: DataFrame) -> DataFrame:
-    """Breaches of values: required fields, version numbers, timestamps, users, digests."""
+    """(object_id, code, n) of breaches of values: required fields, version numbers, timestamps, users, digests."""
     parsed = inventory.parse(docs).select(F.col("object_id").alias("owner"), "inv")
     one = parsed.select(F.col("owner").alias("object_id"), "inv.*")
     algorithm, directory = F.col("digestAlgorithm"), F.col("contentDirectory")
@@ -112,14 +112,15 @@ def value_issues(docs: DataFrame) -> DataFrame:
     numbered = named.select("object_id", "head", "version", versions.number(F.col("version")).alias("vnum"), versions.padding(F.col("version")).alias("vpad")).where("vnum > 0")
     last = numbered.groupBy("object_id", "head").agg(F.max_by("version", "vnum").alias("highest"))
     wrong_head = last.select("object_id", F.when(F.col("head") != F.col("highest"), "E040").alias("code")).where("code is not null")
-    gaps = integrity.version_gaps(numbered).select("object_id", F.lit("E010").alias("code"))
+    absent = F.max("vnum") - F.countDistinct("vnum")  # counted, not listed: a version number may be of any size
+    gaps = numbered.groupBy("object_id").agg(absent.alias("n")).where("n > 0").select("object_id", F.lit("E010").alias("code"), "n")
     pads = integrity.mixed_padding(numbered).select("object_id", F.lit("E013").alias("code"))
     manifest = one.select("object_id", F.explode(F.map_keys("manifest")).alias("digest"))
     state = named.select("object_id", "version", F.explode(F.map_keys("v.state")).alias("digest"))
     unknown = state.join(manifest, ["object_id", "digest"], "left_anti").select("object_id", F.lit("E050").alias("code"))
     unused = manifest.join(one.where("versions is not null").select("object_id"), "object_id", "left_semi").join(state, ["object_id", "digest"], "left_anti").select("object_id", F.lit("E107").alias("code"))
     same = integrity.duplicate_digests(manifest).select("object_id", F.lit("E096").alias("code"))
-    return reduce(DataFrame.union, [top, each, wrong_head, gaps, pads, unknown, unused, same])
+    return reduce(DataFrame.union, [top, each, wrong_head, pads, unknown, unused, same]).withColumn("n", F.lit(1).cast("long")).union(gaps)
 
 
 def issues(docs: DataFrame) -> DataFrame:
@@ -127,4 +128,4 @@ def issues(docs: DataFrame) -> DataFrame:
     shape = shape_issues(docs)
     bad = shape.select(F.col("object_id").alias("gated")).distinct()
     right = docs.join(bad, F.col("object_id").eqNullSafe(F.col("gated")), "left_anti")
-    return shape.union(value_issues(right)).groupBy("object_id", "code").agg(F.count("*").alias("n"))
+    return shape.withColumn("n", F.lit(1).cast("long")).union(value_issues(right)).groupBy("object_id", "code").agg(F.sum("n").alias("n"))

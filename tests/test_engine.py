@@ -101,6 +101,7 @@ BREACHES = [
     ('"v1":{"created"', '"v1":null,"v2":{"created"', {"E047": 1}), ('["a"]', '[1,null]', {"E051": 2}), ('["a"]', 'null', {"E050": 1}),
     ('"message":"m"', '"message":1,"x":2', {"E094": 1, "E102": 1}), ('"2020-01-01T00:00:00Z"', '"2020-01-01"', {"E049": 1}),
     ('"name":"u"', '"name":" "', {"E054": 1}), ('"state":{"ab"', '"state":{"cd"', {"E050": 1, "E107": 1}), ('"v1":{', '"v02":{', {"E010": 2, "E040": 1}),
+    ('"v1":{', '"v9000000000":{', {"E010": 9_000_000_000, "E040": 1}),
     ('"versions":{', '"versions":[],"y":{', {"E044": 1, "E102": 1}), ('"manifest":{', '"manifest":null,"fixity":{', {"E106": 1}),
 ]
 
