@@ -3,10 +3,12 @@
 A public vocabulary with byte fallback cuts each word; a text whose fertility lies outside its bands is rejected,
 after the base rules (too few words, too many repeated 8-word windows). Counts cover the whole text.
 
-There are two bands: fixed outer ones by script, and one by language (by script where the language is null) for
-characters a token. Its middle is the median over all documents of that language that the base rules pass, its width
-BAND times the scaled median deviation, wider for fewer tokens as a mean's spread is. Medians come from a bounded
-quantile sketch. A language of fewer than LEAST_DOCS such documents has the outer bands only.
+There are fixed outer bands by script, and one of each figure by language (by script where the language is null),
+from all documents of that language that the base rules pass: a middle and BAND scaled median deviations around it.
+Characters a token and byte share have their median as middle, and a width that is wider for fewer tokens as a mean's
+spread is; byte share is bounded above only. Entropy rises with the number of tokens n, close to a line in 1/sqrt(n):
+its middle is that line by least squares, set at the median. Medians come from a bounded quantile sketch. A language
+of fewer than LEAST_DOCS such documents has the outer bands only.
 
 Words are runs of other characters than x20 and x09 to x0D. Results for odd input: null text has no words, fails the
 base rules and is not kept; repeated rows give equal rows; an empty table gives an empty one; a column that has the
@@ -30,7 +32,7 @@ WINDOW, FEW_WORDS, REPEATED_PERCENT = 8, 20, 30
 ENTRIES, CHUNK = 400_000, 3_000_000
 
 #: Per script: least and most characters a token, most byte-fallback share, least and most token entropy in bits.
-#: Entropy bounds hold from MIN_TOKENS tokens on, as short texts can't reach high values.
+#: Below MIN_TOKENS tokens the least entropy falls as the highest that can be reached does, log2 of the tokens.
 BANDS = {
     "latin": (1.55, 6.0, 0.10, 4.2, 11.5),
     "cyrillic": (1.2, 6.0, 0.15, 4.2, 11.5),
@@ -41,6 +43,9 @@ BANDS = {
 MIN_TOKENS = 200
 #: Half width of a language's band in scaled median deviations, and the documents that one needs.
 BAND, LEAST_DOCS = 5.0, 50
+#: Least scaled deviations of entropy in bits and of byte share times sqrt(tokens), where nearly all documents are alike; the
+#: latter is the spread of one byte piece in 64, in runs of four.
+LEAST_BITS, LEAST_BYTES = 0.02, 0.25
 #: First and last code point of the letters by which a script is told.
 SCRIPTS = (("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("cjk", 0x3040, 0x9FFF), ("cjk", 0xAC00, 0xD7AF))
 
@@ -147,7 +152,7 @@ def measured(df: DataFrame, text: str = "text", path: str | None = None, bands:
             low, high, most, least_e, most_e = np.array([bands[s] for s in scripts]).reshape(-1, 5).T
             failed = (m["n_words"] < FEW_WORDS) | (100 * m["repeated"] > REPEATED_PERCENT * m["n_words"])
             fine = (ratio >= low) & (ratio <= high) & (share <= most)
-            fine &= (tokens < MIN_TOKENS) | (entropy >= least_e) & (entropy <= most_e)
+            fine &= (entropy >= least_e * np.minimum(1, np.log2(tokens) / np.log2(MIN_TOKENS))) & (entropy <= most_e)
             return [m["n_words"], chars, symbols, [dup_lines(t) for t in texts], m["repeated"], failed, ~failed & fine, scripts, ratio, share, entropy, m["tokens"]]
 
         def work(values):
@@ -170,14 +175,22 @@ def quality(df: DataFrame, path: str | None = None) -> DataFrame:
     """One row for each of df (doc_id, text, lang): the base counts, the figures and the verdict by both bands."""
     rows = measured(df.select("doc_id", "text", "lang"), path=path).drop("text")
     rows = saved(df.sparkSession, rows.withColumn("band", F.coalesce("lang", "script")).drop("lang"), "quality")
-    usual = rows.where(~F.col("base_failed"))
-    middle = usual.groupBy("band").agg(F.percentile_approx("chars_per_token", 0.5, 1000).alias("middle"), F.count("*").alias("n"))
-    off = (F.col("chars_per_token") - F.col("middle")) * F.sqrt("n_pieces")
-    width = usual.join(middle, "band").groupBy("band").agg(F.percentile_approx(F.abs(off), 0.5, 1000).alias("spread"))
-    bands = middle.where(F.col("n") >= LEAST_DOCS).join(width, "band").select("band", "middle", (F.col("spread") * 1.4826 * BAND).alias("most"))
-    inside = F.coalesce(F.abs(off) <= F.col("most"), F.lit(True))
+    usual, root = rows.where(~F.col("base_failed")), F.sqrt("n_pieces")
+    median = lambda x: F.percentile_approx(x, 0.5, 1000)
+    wide = lambda x: median(F.abs(x)) * 1.4826
+    line = F.coalesce(F.regr_slope("token_entropy", 1 / root), F.lit(0.0))
+    # Saved, so that these tables of a row for each language are known to be small and are not made anew.
+    middle = usual.groupBy("band").agg(median("chars_per_token").alias("middle"), median("byte_share").alias("share"), line.alias("slope"), F.count("*").alias("n"))
+    middle = saved(df.sparkSession, middle.where(F.col("n") >= LEAST_DOCS).drop("n"), "quality-middle")
+    off, over, rest = (F.col("chars_per_token") - F.col("middle")) * root, (F.col("byte_share") - F.col("share")) * root, F.col("token_entropy") - F.col("slope") / root
+    width = usual.join(middle, "band").groupBy("band").agg(wide(off).alias("most"), wide(over).alias("most_over"), median(rest).alias("bits"))
+    bands = saved(df.sparkSession, middle.join(width, "band"), "quality-bands")
+    bent = F.abs(rest - F.col("bits"))
+    width = usual.join(bands, "band").groupBy("band").agg(wide(bent).alias("most_bent"))
+    bands = bands.join(width, "band")
+    inside = (F.abs(off) <= BAND * F.col("most")) & (over <= BAND * F.greatest("most_over", F.lit(LEAST_BYTES))) & (bent <= BAND * F.greatest("most_bent", F.lit(LEAST_BITS)))
     # A row for each language or script that occurs, so it may be broadcast; which way is taken is left to its size.
-    return rows.join(bands, "band", "left").withColumn("kept", F.col("kept") & inside).drop("band", "middle", "most", "n_pieces")
+    return rows.join(bands, "band", "left").withColumn("kept", F.col("kept") & F.coalesce(inside, F.lit(True))).select([c for c in rows.columns if c not in ("band", "n_pieces")])
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

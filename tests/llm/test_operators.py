@@ -65,6 +65,18 @@ def test_quality(spark):
     assert long.n_repeat_words == 40 and long.base_failed and not long.kept
 
 
+def test_quality_bands(spark):
+    rng, parts = random.Random(4), "ba ce di fo gu ha je ki lo mu".split()
+    words = [a + b for a in parts for b in "nd rk st ll mp sh".split()] + ["".join(rng.choices(parts, k=3)) for _ in range(240)]
+    draw = lambda k: rng.choices(words, [1 / (i + 3) for i in range(len(words))], k=k)
+    texts = [" ".join(draw(int(2 ** rng.uniform(5, 9.5)))) for _ in range(80)]
+    rare = [chr(0x13000 + i) for i in range(8)]
+    odd = [" ".join(rng.choices(words[:6], k=60)), " ".join([*draw(150), *rare])]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*texts, " ".join([*draw(150), rare[0]]), *odd])], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality.quality(df).collect()}
+    assert got == {i: (False, i < 81) for i in range(83)}
+
+
 def test_html():
     page = "<html><head><title>T</title></head><body><nav><a href=x>Home</a></nav><article><h1>A &amp; B</h1><p>Some  <b>bold</b>\n text.<p>Next.</article><div class='comments'><p>I think that it is so and not the other way for all of us here.</div><footer>F</footer>"
     assert html_text.main_text(page) == "A & B\n\nSome bold text.\n\nNext."
