@@ -32,13 +32,13 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled by calibrated probabilities."""
+    """Documents sampled to the target shares; copies says how often each is taken."""
     return mixing.sample(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's tokens by number and digest, and the digest of what they decode to."""
-    return byte_bpe.digests(docs, keep=("lang", "source"))
+    return byte_bpe.digests(docs, keep=("lang", "source", "copies"))
 
 
 STAGES = [

@@ -1,9 +1,15 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token masses are summed by cell (source, language, topic) over all documents. Raking scales the cells by turns until
-their sums meet the target shares of every source, language and topic; a document's probability is its cell's raked
-mass over its true mass, times one factor, at most 1, so that the expected tokens are `rate` of all. Whether a
-document is taken hangs on a hash of its id alone, so a rerun takes the same ones.
+their sums meet the target shares of every source, language and topic. `sample`, the pipeline's stage, takes each
+document as often as its cell's raked mass over its true mass, times `rate`, says: the whole part, and once more where
+a hash of its id falls under the fraction. The column `copies` says how often; the document stands in one row. So with
+copies counted, expected shares are those raking meets, and expected tokens `rate` of all. Draws hang on the id alone,
+so a rerun takes the same ones.
+
+`plan`, the query, takes no document twice, as its SQL has it: probabilities are cut at 1, and one factor makes up for
+the cut, so that the expected tokens are `rate` of all. Where cells are cut its expected shares MISS the targets, the
+more the larger `rate` is; README has the figures.
 
 Without given targets a marginal's target shares are its true ones to the power TEMPER, made to sum to 1. A topic is
 the column `topic`, if there is one, else the form of the text (figures, markup, lines, talk, prose).
@@ -72,7 +78,7 @@ def tempered(mass: np.ndarray, temper: float) -> np.ndarray:
 
 
 def cell_weights(rows: DataFrame, rate: float = RATE, temper: float = TEMPER, targets: dict[str, dict[str, float]] | None = None, most: int = CELLS) -> DataFrame:
-    """(source, lang, topic, mass, weight, prob) of each cell with tokens."""
+    """(source, lang, topic, mass, weight, copies, prob) of each cell with tokens."""
     spark = rows.sparkSession
     cells = rows.groupBy(*(F.col(f"__{k}").alias(k) for k in KEYS)).agg(F.sum("__tokens").cast("double").alias("mass"))
     cells = saved(spark, cells.where("mass > 0"), "cells")
@@ -80,7 +86,7 @@ def cell_weights(rows: DataFrame, rate: float = RATE, temper: float = TEMPER, ta
         return _distributed(cells, rate, temper, targets or {})
     found = cells.orderBy(*KEYS).toPandas()
     if found.empty:
-        return cells.select(*KEYS, "mass", F.lit(0.0).alias("weight"), F.lit(0.0).alias("prob"))
+        return cells.select(*KEYS, "mass", *(F.lit(0.0).alias(c) for c in ("weight", "copies", "prob")))
     mass, numbers, shares = found["mass"].to_numpy(), [], []
     for k in KEYS:
         values, number = np.unique(found[k].to_numpy(dtype=str), return_inverse=True)
@@ -90,7 +96,7 @@ def cell_weights(rows: DataFrame, rate: float = RATE, temper: float = TEMPER, ta
         numbers.append(number)
         shares.append(share / max(share.sum(), 1e-300))
     w = rake(mass, numbers, shares)
-    found["weight"], found["prob"] = w, probabilities(mass, w, rate)
+    found["weight"], found["copies"], found["prob"] = w, rate * mass.sum() * w / mass, probabilities(mass, w, rate)
     return saved(spark, spark.createDataFrame(found), "cell-weights")
 
 
@@ -119,17 +125,18 @@ def _distributed(cells: DataFrame, rate: float, temper: float, targets: dict[str
         got = now.agg(*(F.sum(F.least(F.lit(1.0), F.col("weight") / F.col("mass") * x) * F.col("mass")).alias(f"x{i}") for i, x in enumerate(tries))).first()
         at = max((i for i, x in enumerate(got) if x <= rate * total), default=0)
         low, high = tries[at], tries[min(at + 1, 64)]
-    return saved(spark, now.select(*KEYS, "mass", "weight", F.least(F.lit(1.0), F.col("weight") / F.col("mass") * low).alias("prob")), "cell-weights")
+    return saved(spark, now.select(*KEYS, "mass", "weight", (F.col("weight") / F.col("mass") * (rate * total)).alias("copies"), F.least(F.lit(1.0), F.col("weight") / F.col("mass") * low).alias("prob")), "cell-weights")
 
 
 def chosen(rows: DataFrame, weights: DataFrame, rate: float, seed: str) -> DataFrame:
-    """rows with __weight, __prob and __taken."""
-    w = weights.select(*(F.col(k).alias(f"__{k}") for k in KEYS), F.col("weight").alias("__weight"), F.col("prob").alias("__prob"))
+    """rows with __weight, __prob, __taken and __copies."""
+    w = weights.select(*(F.col(k).alias(f"__{k}") for k in KEYS), F.col("weight").alias("__weight"), F.col("prob").alias("__prob"), F.col("copies").alias("__copies"))
     name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))) if "__name" not in rows.columns else F.col("__name")
     u = F.conv(F.substring(F.md5(F.concat(F.lit(seed), name).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     joined = rows.join(w, [f"__{k}" for k in KEYS], "left")
-    prob = F.when(F.col("__tokens") > 0, F.coalesce("__prob", F.lit(rate))).otherwise(F.lit(rate))
-    return joined.withColumns({"__prob": prob, "__weight": F.coalesce("__weight", F.lit(0.0)), "__taken": u < prob})
+    prob, copies = (F.when(F.col("__tokens") > 0, F.coalesce(c, F.lit(rate))).otherwise(F.lit(rate)) for c in ("__prob", "__copies"))
+    drawn = F.floor(copies) + (u < copies - F.floor(copies)).cast("long")
+    return joined.withColumns({"__prob": prob, "__weight": F.coalesce("__weight", F.lit(0.0)), "__taken": u < prob, "__copies": drawn})
 
 
 def plan(docs: DataFrame, rate: float = RATE, temper: float = TEMPER, targets=None, seed: str = SEED, most: int = CELLS) -> DataFrame:
@@ -142,9 +149,9 @@ def plan(docs: DataFrame, rate: float = RATE, temper: float = TEMPER, targets=No
 
 
 def sample(docs: DataFrame, rate: float = RATE, temper: float = TEMPER, targets=None, seed: str = SEED) -> DataFrame:
-    """The documents that are taken, with the columns of docs."""
+    """The documents that are taken, with the columns of docs and copies (long), how often each is taken."""
     rows = annotated(docs)
-    return chosen(rows, cell_weights(rows, rate, temper, targets), rate, seed).where("__taken").select(*docs.columns)
+    return chosen(rows, cell_weights(rows, rate, temper, targets), rate, seed).where("__copies > 0").select(*(c for c in docs.columns if c.lower() != "copies"), F.col("__copies").alias("copies"))
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

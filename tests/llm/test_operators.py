@@ -96,6 +96,19 @@ def test_mixing(spark):
     assert mixing.plan(docs.limit(0)).count() == 0
 
 
+def test_mixing_meets_targets(spark):
+    rows = [(i, "w " * 20, "en" if i % 10 else "de", f"s{i % 7 % 2}", "prose" if i % 9 else "markup") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string")
+    taken = mixing.sample(docs).toPandas()
+    assert taken["doc_id"].is_unique
+    taken = taken.loc[taken.index.repeat(taken["copies"])]
+    assert abs(len(taken) - mixing.RATE * len(rows)) < 0.02 * len(rows)
+    for k, at in (("lang", 2), ("source", 3), ("topic", 4)):
+        values = [r[at] for r in rows]
+        mass = {v: values.count(v) ** mixing.TEMPER for v in set(values)}
+        assert all(abs((taken[k] == v).mean() - m / sum(mass.values())) < 0.02 for v, m in mass.items())
+
+
 def test_ngram_join(spark):
     rng, words, texts = random.Random(5), [f"w{i}" for i in range(900)], [None, "", "a b", "A b", "a c"]
     base = [rng.choice(words) for _ in range(60)]
