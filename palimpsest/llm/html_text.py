@@ -56,8 +56,6 @@ COPYRIGHT = re.compile(r"©|\(c\) |copyright\b", re.I)
 
 #: Characters of a short and of a long block, link share above which a block is bad, stop-word shares of good and near-good blocks.
 SHORT, LONG, LINKS, GOOD_STOPS, NEAR_STOPS = 70, 200, 0.33, 0.30, 0.20
-#: Blocks that neighbours may be away before an undecided block outside an article element counts as bad.
-REACH = 8
 
 
 class Block:
@@ -183,13 +181,13 @@ def classify(blocks: list[tuple[Block, str]]) -> None:
 
 
 def neighbours(blocks: list[tuple[Block, str]]) -> list[tuple[tuple[int, str], tuple[int, str]]]:
-    """Distance and label of the nearest decided blocks before and after each; '' if there is none within REACH."""
+    """Distance and label of the nearest decided blocks before and after each; '' if there is none."""
     n = len(blocks)
     sides = []
     for order in (range(n), range(n - 1, -1, -1)):
         side, at, label = [(0, "")] * n, 0, ""
         for i in order:
-            side[i] = (abs(i - at), label) if abs(i - at) <= REACH else (0, "")
+            side[i] = (abs(i - at), label)
             b = blocks[i][0]
             if b.label in ("good", "bad") and not b.never:
                 at, label = i, b.label

@@ -83,6 +83,13 @@ def test_html():
     assert html_text.main_text("<script>var x='<p>no</p>'</script>") == "" == html_text.main_text("<")
 
 
+def test_html_long_list():
+    good = "It was there that they had to go with all of us, and what we could do about it was not for me to say. " * 3
+    items = [f"Item {i}" for i in range(40)]
+    page = f"<body><div><p>{good}</p><ul>{''.join(f'<li>{x}</li>' for x in items)}</ul><p>{good}</p></div></body>"
+    assert html_text.main_text(page) == "\n\n".join([good.strip(), *items, good.strip()])
+
+
 def test_mixing(spark):
     import numpy as np
 
