@@ -7,8 +7,10 @@ There are fixed outer bands by script, and one of each figure by language (by sc
 from all documents of that language that the base rules pass: a middle and BAND scaled median deviations around it.
 Characters a token and byte share have their median as middle, and a width that is wider for fewer tokens as a mean's
 spread is; byte share is bounded above only. Entropy rises with the number of tokens n, close to a line in 1/sqrt(n):
-its middle is that line by least squares, set at the median. Medians come from a bounded quantile sketch. A language
-of fewer than LEAST_DOCS such documents has the outer bands only.
+its middle is that line by least squares, set at the median. Medians come from a bounded quantile sketch.
+
+A language of fewer than LEAST_DOCS such documents takes the bands of all documents of its script. A script of fewer has
+its own middles, as those of other scripts would reject all of it, but at least the widths and the slope of all documents.
 
 Words are runs of other characters than x20 and x09 to x0D. Results for odd input: null text has no words, fails the
 base rules and is not kept; repeated rows give equal rows; an empty table gives an empty one; a column that has the
@@ -173,24 +175,33 @@ def measured(df: DataFrame, text: str = "text", path: str | None = None, bands:
 
 def quality(df: DataFrame, path: str | None = None) -> DataFrame:
     """One row for each of df (doc_id, text, lang): the base counts, the figures and the verdict by both bands."""
-    rows = measured(df.select("doc_id", "text", "lang"), path=path).drop("text")
-    rows = saved(df.sparkSession, rows.withColumn("band", F.coalesce("lang", "script")).drop("lang"), "quality")
-    usual, root = rows.where(~F.col("base_failed")), F.sqrt("n_pieces")
+    rows = saved(df.sparkSession, measured(df.select("doc_id", "text", "lang"), path=path).drop("text"), "quality")
+    # Bands are fitted for each language, for each script and for all documents; a key has what it is and its name.
+    keys = F.array(F.concat(F.lit("lang "), F.coalesce("lang", F.lit(""))), F.concat(F.lit("script "), F.col("script")), F.lit("all"))
+    usual = rows.where(~F.col("base_failed")).withColumn("key", F.explode(F.when(F.col("lang").isNull(), F.slice(keys, 2, 2)).otherwise(keys)))
+    root = F.sqrt("n_pieces")
     median = lambda x: F.percentile_approx(x, 0.5, 1000)
     wide = lambda x: median(F.abs(x)) * 1.4826
     line = F.coalesce(F.regr_slope("token_entropy", 1 / root), F.lit(0.0))
-    # Saved, so that these tables of a row for each language are known to be small and are not made anew.
-    middle = usual.groupBy("band").agg(median("chars_per_token").alias("middle"), median("byte_share").alias("share"), line.alias("slope"), F.count("*").alias("n"))
-    middle = saved(df.sparkSession, middle.where(F.col("n") >= LEAST_DOCS).drop("n"), "quality-middle")
+    # Saved, so that these tables of a row for each key are known to be small and are not made anew.
+    middle = usual.groupBy("key").agg(median("chars_per_token").alias("middle"), median("byte_share").alias("share"), line.alias("slope"), F.count("*").alias("n"))
+    middle = saved(df.sparkSession, middle.where((F.col("n") >= LEAST_DOCS) | ~F.col("key").startswith("lang ")), "quality-line")
+    every = middle.where("key = 'all'").select(F.col("slope").alias("all_slope"))
+    middle = middle.crossJoin(every).withColumn("slope", F.when(F.col("n") >= LEAST_DOCS, F.col("slope")).otherwise(F.col("all_slope"))).drop("all_slope")
     off, over, rest = (F.col("chars_per_token") - F.col("middle")) * root, (F.col("byte_share") - F.col("share")) * root, F.col("token_entropy") - F.col("slope") / root
-    width = usual.join(middle, "band").groupBy("band").agg(wide(off).alias("most"), wide(over).alias("most_over"), median(rest).alias("bits"))
-    bands = saved(df.sparkSession, middle.join(width, "band"), "quality-bands")
+    width = usual.join(middle, "key").groupBy("key").agg(wide(off).alias("most"), wide(over).alias("most_over"), median(rest).alias("bits"))
+    bands = saved(df.sparkSession, middle.join(width, "key"), "quality-middle")
     bent = F.abs(rest - F.col("bits"))
-    width = usual.join(bands, "band").groupBy("band").agg(wide(bent).alias("most_bent"))
-    bands = bands.join(width, "band")
+    bands = bands.join(usual.join(bands, "key").groupBy("key").agg(wide(bent).alias("most_bent")), "key")
+    bands = saved(df.sparkSession, bands, "quality-width")
+    widths = ("most", "most_over", "most_bent")
+    every = bands.where("key = 'all'").select(*(F.col(c).alias(f"all_{c}") for c in widths))
+    bands = bands.crossJoin(every).withColumns({c: F.when(F.col("n") >= LEAST_DOCS, F.col(c)).otherwise(F.greatest(c, f"all_{c}")) for c in widths})
     inside = (F.abs(off) <= BAND * F.col("most")) & (over <= BAND * F.greatest("most_over", F.lit(LEAST_BYTES))) & (bent <= BAND * F.greatest("most_bent", F.lit(LEAST_BITS)))
+    known = bands.where(F.col("key").startswith("lang ")).select("key", F.lit(True).alias("known"))
+    rows_key = rows.withColumn("key", keys[0]).join(known, "key", "left").withColumn("key", F.when(F.col("known") & F.col("lang").isNotNull(), F.col("key")).otherwise(keys[1]))
     # A row for each language or script that occurs, so it may be broadcast; which way is taken is left to its size.
-    return rows.join(bands, "band", "left").withColumn("kept", F.col("kept") & F.coalesce(inside, F.lit(True))).select([c for c in rows.columns if c not in ("band", "n_pieces")])
+    return rows_key.join(bands, "key", "left").withColumn("kept", F.col("kept") & F.coalesce(inside, F.lit(True))).select([c for c in rows.columns if c not in ("lang", "n_pieces")])
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

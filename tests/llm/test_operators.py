@@ -75,6 +75,11 @@ def test_quality_bands(spark):
     df = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*texts, " ".join([*draw(150), rare[0]]), *odd])], "doc_id long, text string, lang string")
     got = {r.doc_id: (r.base_failed, r.kept) for r in quality.quality(df).collect()}
     assert got == {i: (False, i < 81) for i in range(83)}
+    # The text of 22 words lies within the outer bands.
+    other = "и в не на что он как это по но они мы все она так его только мне было вот от меня еще нет когда даже ничего себя может они тут где есть надо"
+    rows = [(i, t, "en" if i % 20 else "eo") for i, t in enumerate([*texts, " ".join(rng.choices(words[:22], k=60))])] + [(81, other, "ru")]
+    got = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {i: i != 80 for i in range(82)}
 
 
 def test_html():
