@@ -29,6 +29,8 @@ ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|([^\s
 
 #: Elements whose content is not text, by their own end tags only.
 RAW = frozenset("script style noscript template textarea title iframe object svg math canvas select xmp noembed noframes audio video".split())
+#: Elements that a slash at the end of their start tag closes.
+FOREIGN = frozenset("svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 NEVER = frozenset("nav footer aside form button menu dialog fieldset head header".split())
@@ -82,6 +84,11 @@ def names_never(tag: str, attributes: str, inside: int) -> bool:
     return False
 
 
+def closes_itself(attributes: str) -> bool:
+    """Whether a start tag ends in a slash that is not the end of an unquoted value."""
+    return attributes.endswith("/") and not re.search(r"=\s*[^\s\"']\S*\Z", re.sub(r"\"[^\"]*\"|'[^']*'", '""', attributes))
+
+
 def blocks_of(page: str) -> list[tuple[Block, str]]:
     """The page's blocks in order, with their text: references decoded, white space as one space, trimmed, none empty."""
     found: list[Block] = []
@@ -124,6 +131,9 @@ def blocks_of(page: str) -> list[tuple[Block, str]]:
                 if tag in HEADINGS:
                     heading = False
             continue
+        if tag in FOREIGN and closes_itself(m[3]):
+            now = None
+            continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else size

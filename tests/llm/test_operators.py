@@ -88,6 +88,12 @@ def test_html():
     assert html_text.main_text("<script>var x='<p>no</p>'</script>") == "" == html_text.main_text("<")
 
 
+def test_html_self_closed():
+    for tag in ("<svg/>", "<svg width='1' a=\"x=y\" />", "<math hidden/>", "<SVG\n/>"):
+        assert html_text.main_text(f"<article><p>Before.</p>{tag}<p>After.</p></article>") == "Before.\n\nAfter."
+    assert html_text.main_text("<article><p>Before.</p><svg width=1/><p>no</p></svg><script/><p>no</p></script><p>After.</p></article>") == "Before.\n\nAfter."
+
+
 def test_html_long_list():
     good = "It was there that they had to go with all of us, and what we could do about it was not for me to say. " * 3
     items = [f"Item {i}" for i in range(40)]
