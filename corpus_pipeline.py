@@ -49,7 +49,7 @@ STAGES = [
     ("byte-level BPE", tokens),
 ]
 
-#: Language ID and tokens are beyond SQL; tests hold the result against a brute-force version.
+#: Language ID and tokens are beyond SQL. No test holds the whole result against a brute-force version yet.
 ORACLE_SQL = None
 
 
