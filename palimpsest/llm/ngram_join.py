@@ -44,14 +44,14 @@ from pyspark.sql import functions as F
 from palimpsest.runtime import arrow_rows, saved, ship, table
 
 SHINGLE, PERCENT = 5, 75
-#: Largest boundary that is considered; cost of a posting in terms of one subset key.
-MOST_LIGHT, POSTING_COST = 12, 4
-#: Words of a worker's cache; characters at once; shingles put last in the order (1 MB at most); least count, summed over partitions that see it twice, of a frequent one.
-ENTRIES, CHUNK, LAST, FREQUENT = 400_000, 4_000_000, 131_072, 32
+#: Sizes whose numbers the driver gets to choose the boundary from (one set of this size has more than 1e40 subsets); cost of a posting in terms of one subset key.
+SIZES, POSTING_COST = 256, 4
+#: Words of a task's cache; characters at once; shingles put last in the order (1 MB at most); least number of repeats inside partitions of a frequent one; slots (32 MB) that tell repeats.
+ENTRIES, CHUNK, LAST, FREQUENT, SLOTS = 200_000, 4_000_000, 131_072, 32, 1 << 25
 #: Bits of the filter that tells which sets verification needs (1 MB).
 FILTER_BITS = 23
-#: Members up to which a list is short.
-SHORT_LIST = 64
+#: Members up to which a list is short; members of a star up to which a shingle outside its centre is rare.
+SHORT_LIST, RARE = 16, 64
 #: Ratio of the sizes that share a centre.
 BAND = 1.15
 #: Mark of a pair with a list's centre, and centres that a member is verified against where the first leaves it open.
@@ -96,11 +96,10 @@ class Words(dict):
         return h
 
 
-_words = Words()
 _TRUE = np.ones(1, bool)
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, list[int]]:
+def word_hashes(texts: list[str | None], known: Words) -> tuple[np.ndarray, list[int]]:
     """Hashes of the words of all texts, and each text's number of words; each distinct word is looked up once."""
     data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     strings = pa.array(data, pa.large_binary()).cast(options=pc.CastOptions(pa.large_string(), allow_invalid_utf8=True))
@@ -110,13 +109,13 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, list[int]]:
     before = np.concatenate([[0], np.cumsum(filled)])[ends - ends[0]]
     coded = words.dictionary_encode()
     found = coded.dictionary.cast(pa.large_binary()).to_pylist()
-    hashes = np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
+    hashes = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
     return hashes[coded.indices.to_numpy()[filled]], np.diff(before).tolist()
 
 
-def shingle_sets(texts: list[str | None], width: int = SHINGLE) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], width: int = SHINGLE, known: Words | None = None) -> list[np.ndarray]:
     """Each text's sorted distinct shingle hashes."""
-    flat, n = word_hashes(texts)
+    flat, n = word_hashes(texts, Words() if known is None else known)
     k = max(0, len(flat) - width + 1)
     grams = np.zeros(k, np.uint64)
     for i in range(width):
@@ -161,23 +160,27 @@ def light_keys(s: np.ndarray, most: int) -> list[tuple[int, int]]:
 
 
 def boundary(sizes: dict[int, int]) -> int:
-    """The x of least estimated cost, from the number of classes of each size."""
-
-    def cost(x: int) -> int:
+    """The x of least estimated cost, from the number of classes of each size; light keys only grow in number with x."""
+    best, least, x = 0, None, 0
+    while True:
         light = sum(c * comb(n, overlap(min(n, m), max(n, m))) for n, c in sizes.items() if n <= x for m in partners(n, x))
-        return light + POSTING_COST * sum(c * (n - need(n) + 1) for n, c in sizes.items() if 100 * n > PERCENT * x)
-
-    return min(range(MOST_LIGHT + 1), key=cost)
+        if least is not None and light >= least or x > max(sizes, default=0):
+            return best
+        cost = light + POSTING_COST * sum(c * (n - need(n) + 1) for n, c in sizes.items() if 100 * n > PERCENT * x)
+        if least is None or cost < least:
+            best, least = x, cost
+        x += 1
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Ids and shingle sets of at most about CHUNK characters at once."""
+    known = Words()
     for b in batches:
         ids, texts, at, size = b.column(0).to_pylist(), b.column(1).to_pylist(), 0, 0
         for i, t in enumerate([*texts, None]):
             if i == len(texts) or size > CHUNK:
                 if i > at:
-                    yield ids[at:i], shingle_sets(texts[at:i])
+                    yield ids[at:i], shingle_sets(texts[at:i], known=known)
                 at, size = i, 0
             size += len(t or "")
 
@@ -190,28 +193,31 @@ _ROWS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64(
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: each row's set size and class. Kind 1: shingles (cls) that stand in many (n) prefixes of this partition."""
+    """Kind 0: each row's set size and class. Kind 1: shingles (cls) that prefixes of this partition had before, n times in a chunk; a slot may tell one too many."""
     seen: set[int] = set()
-    firsts: list[np.ndarray] = []
+    slots = np.zeros(SLOTS, bool)
     none = np.zeros(0, np.uint64)
     for ids, sets in _chunks(batches):
         classes = [class_of(s) for s in sets]
+        firsts = []
         for c, s in zip(classes, sets, strict=True):
             if c is not None and c not in seen:
                 seen.add(c)
                 firsts.append(prefix(s, none))
         yield _batch(_ROWS, [0] * len(ids), ids, list(map(len, sets)), classes)
-    if firsts:
-        every = np.concatenate(firsts)
-        found, count = np.unique(every, return_counts=True)
-        often = count >= 2  # with df copies over p partitions about df^2 / 2p pairs fall together, so what is frequent shows at any size
-        found, count = found[often], count[often]
-        if len(found):
-            yield _batch(_ROWS, [1] * len(found), [None] * len(found), count, found.view(np.int64))
+        if firsts:
+            # With df copies over p partitions about df^2 / 2p pairs fall together, so what is frequent shows at any size.
+            found, count = np.unique(np.concatenate(firsts), return_counts=True)
+            at = (found & np.uint64(SLOTS - 1)).astype(np.int64)
+            count = count - 1 + slots[at]
+            slots[at] = True
+            found, count = found[count > 0], count[count > 0]
+            if len(found):
+                yield _batch(_ROWS, [1] * len(found), [None] * len(found), count, found.view(np.int64))
 
 
 _POSTINGS = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("cls", pa.int64()), ("n", pa.int32())])
-_LISTS = "key long, kind int, cls long, n int, hub long, hub_n int"
+_LISTS = "key long, kind int, cls long, n int, hub long, at long"
 
 
 def _postings(last, light: int):
@@ -245,27 +251,31 @@ def _postings(last, light: int):
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, size and class: the lists of two classes at least, with their first class as hub. Streams: one row is carried on."""
-    names = ["key", "kind", "cls", "n", "hub", "hub_n"]
-    carry, told = None, False  # first row of the list that may go on, and whether it has been given out
+    """Of rows sorted by key, size and class: the lists of two classes at least, with their first class as hub and each row's place. Streams: one row is carried on."""
+    names, kinds = ["key", "kind", "cls", "n", "hub", "at"], (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+    carry, told = None, 0  # first row of the list that may go on, and how many of its rows have been given out
     for b in batches:
         key, kind, cls, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         if carry is not None:
-            key, kind, cls, n = (np.concatenate([[c], x]) for c, x in zip(carry, (key, kind, cls, n), strict=True))
+            key, kind, cls, n = (np.concatenate([[c], x]) for c, x in zip(carry[:4], (key, kind, cls, n), strict=True))
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-        fresh &= np.concatenate([[True], ~((key[1:] == key[0]) & (cls[1:] == cls[0]))])
+        if carry is not None:  # the row carried on is the list's first, the last one given out is carry[4]
+            fresh[1:] &= ~((key[1:] == key[0]) & ((cls[1:] == cls[0]) | (cls[1:] == carry[4])))
         key, kind, cls, n = key[fresh], kind[fresh], cls[fresh], n[fresh]
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.concatenate([start, [len(key)]]))
         first = np.repeat(start, size)
+        at = np.arange(len(key)) - first
         out = np.repeat(size, size) > 1
         if told:
             out[0] = False
-        yield pa.RecordBatch.from_arrays([pa.array(x[out], t) for x, t in zip((key, kind, cls, n, cls[first], n[first]), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names=names)
+            at[1 : size[0]] += told - 1
+        last, gone = cls[-1], told if len(start) == 1 else 0
+        yield pa.RecordBatch.from_arrays([pa.array(x[out], t) for x, t in zip((key, kind, cls, n, cls[first], at), kinds, strict=True)], names=names)
         f = start[-1]
-        told = bool(size[-1] > 1 or told and len(start) == 1)
-        carry = (key[f], kind[f], cls[f], n[f])
+        told = gone + int(size[-1]) - 1 if gone else int(size[-1]) if size[-1] > 1 else 0
+        carry = (key[f], kind[f], cls[f], n[f], last)
 
 
 def _sets(filter_bits):
@@ -311,12 +321,11 @@ class Join:
     def __init__(self, docs: DataFrame) -> None:
         self.spark: SparkSession = docs.sparkSession
         ship(self.spark)
-        self.sets: DataFrame | None = None
         self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         arrow_rows(self.spark, 4096)
         first = saved(self.spark, self.texts.mapInArrow(_first_pass, "kind int, doc_id long, n long, cls long"), "shingle-rows")
         self.rows = first.where("kind = 0").select("doc_id", "n", "cls")
-        small = self.rows.where(F.col("n").between(1, 2 * MOST_LIGHT)).select("n", "cls").distinct().groupBy("n").count().collect()
+        small = self.rows.where(F.col("n").between(1, SIZES)).select("n", "cls").distinct().groupBy("n").count().collect()
         self.light = boundary({r[0]: r[1] for r in small})
         often = first.where("kind = 1").groupBy("cls").agg(F.sum("n").alias("c")).where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "cls").limit(LAST)
         last = np.sort(often.toPandas()["cls"].to_numpy(np.int64).view(np.uint64))
@@ -330,19 +339,19 @@ class Join:
         both = keys.groupBy("key").agg((F.min("n") < F.max("n")).alias("both"))
         return keys.join(both, "key").where("(kind = 1 or both) and cls != hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
 
-    def overlaps(self, pairs: DataFrame, rest: str = "false") -> DataFrame:
-        """pairs (a, b, ...) with a_n, b_n, common, and in `rest` the shingles of b outside a where that condition holds.
+    def near(self, short: DataFrame) -> DataFrame:
+        """Pairs (a, b) of short lists that share enough of their first shingles to link."""
+        p, q = short.alias("p"), short.alias("q")
+        meet = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.cls") < F.col("q.cls")) & _can_link("p.n", "q.n") & (F.greatest("p.n", "q.n") > self.light))
+        counted = meet.groupBy(F.col("p.cls").alias("a"), F.col("q.cls").alias("b")).agg(F.count("*").alias("k"), F.first("p.n").alias("x"), F.first("q.n").alias("y"))
+        least = F.expr(f"ceil({PERCENT} * (x + y) / {100 + PERCENT}) - ceil({PERCENT} * greatest(x, y) / 100) + 1")
+        return counted.where(F.col("k") >= least).select("a", "b")
 
-        The first call reads the texts again for the sets of its pairs; later pairs are among the same classes.
-        """
+    def overlaps(self, pairs: DataFrame, rest: str = "false") -> DataFrame:
+        """pairs (a, b, ...) with a_n, b_n, common, and in `rest` the shingles of b outside a where that condition holds."""
         pairs = saved(self.spark, pairs, "pairs")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("c"))
-        if self.sets is None:
-            self.sets = self.sets_of(ends)
-            sets = self.sets
-        else:
-            sets = self.sets.join(ends.select(F.col("c").alias("cls")).distinct(), "cls", "left_semi")
-        sets = sets.dropDuplicates(["cls"])
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        sets = self.sets.join(ends, "cls", "left_semi").dropDuplicates(["cls"])
         one = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("s")), "a")
         two = one.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("t")), "b")
         out = saved(
@@ -371,6 +380,7 @@ class Join:
         return whole.union(banded).where("a != b"), first.select("key", F.col("score")["cls"].alias("a"))
 
     def sets_of(self, ends: DataFrame) -> DataFrame:
+        """(cls, shingles) of the classes c of ends, and of some others; the texts are read again."""
         bit = F.col("c").bitwiseAND((1 << FILTER_BITS) - 1)
         words = ends.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, int((c & {(1 << FILTER_BITS) - 1}) & 63))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
         filled = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
@@ -381,20 +391,23 @@ class Join:
     def run(self) -> DataFrame:
         """(cls, comp) of the classes that are linked to another."""
         heavy = self.lists.where("kind = 0")
-        lengths = heavy.groupBy("key").agg(F.count("*").alias("m"))
-        long = lengths.where(F.col("m") > SHORT_LIST)
-        short = heavy.join(long, "key", "left_anti").select("key", "cls", "n")
-        p, q = short.alias("p"), short.alias("q")
-        meet = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.cls") < F.col("q.cls")) & _can_link("p.n", "q.n") & (F.greatest("p.n", "q.n") > self.light))
-        counted = meet.groupBy(F.col("p.cls").alias("a"), F.col("q.cls").alias("b")).agg(F.count("*").alias("k"), F.first("p.n").alias("x"), F.first("q.n").alias("y"))
-        least = F.expr(f"ceil({PERCENT} * (x + y) / {100 + PERCENT}) - ceil({PERCENT} * greatest(x, y) / 100) + 1")
-        near = counted.where(F.col("k") >= least).select("a", "b", F.lit(0).alias("kind"))
+        long = heavy.where(F.col("at") == SHORT_LIST).select("key")
+        near = saved(self.spark, self.near(heavy.join(long, "key", "left_anti").select("key", "cls", "n")), "near")
         members = saved(self.spark, heavy.join(long, "key", "left_semi").select("key", "cls", "n", "hub", F.floor(F.log(BAND, "n")).cast("int").alias("band")), "long-lists")
-        pairs, first = self.central(members)
-        found = self.overlaps(near.union(pairs).groupBy("a", "b").agg(F.bit_or("kind").alias("kind")), "kind > 0")
-        comps = components(self.light_links().union(linking(found)))
+        links = saved(self.spark, self.light_links(), "light-links")
         dropped(self.lists)
-        stars = saved(self.spark, self.shifted(found.where("kind > 0")), "stars")
+        self.sets = self.sets_of(near.select(F.explode(F.array("a", "b")).alias("c")).union(members.select("cls")).distinct())
+        pairs, first = self.central(members)
+        found = self.overlaps(starred(near).withColumn("kind", F.lit(0)).union(pairs).groupBy("a", "b").agg(F.bit_or("kind").alias("kind")), "kind > 0")
+        comps = components(links.union(linking(found)))
+        more = saved(self.spark, apart(near, comps).join(found.select("a", "b"), ["a", "b"], "left_anti").join(found.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "open-near")
+        if not more.isEmpty():
+            comps = components(linking(self.overlaps(more)), comps)
+        return self.across(members, first, found.where("kind > 0"), comps)
+
+    def across(self, members: DataFrame, first: DataFrame, found: DataFrame, comps: DataFrame) -> DataFrame:
+        """comps with the links between components of one long list."""
+        stars, rests = self.shifted(found)
         inner = saved(self.spark, outside(stars, comps).where("asked <= 0").select("b").distinct(), "inner")
         hubs = None
         if not inner.isEmpty():
@@ -405,28 +418,40 @@ class Join:
             comps = components(linking(hubs), comps)
             inner = saved(self.spark, outside(stars, comps).where("asked <= 0").select("b").distinct(), "inner")
         probes = outside(stars, comps).where("asked > 0")
-        more = met(probes, stars.join(probes.select("a").distinct(), "a", "left_semi"), comps)
+        more = met(probes, rests, comps)
         if hubs is not None and not inner.isEmpty():
-            hubs = saved(self.spark, self.as_stars(hubs.where("kind > 0"), inner, core), "hubs")
             open_stars = stars.join(inner, "b", "left_semi")
+            open_rests = rests.join(open_stars.select("a", "b"), ["a", "b"], "left_semi")
             others = stars.where("asked > 0").join(open_stars.select("a").distinct(), "a", "left_semi")
-            more = more.union(met(others, open_stars, comps)).union(met(open_stars.withColumn("asked", F.lit(1)), stars.where("asked <= 0"), comps))
+            more = more.union(met(others, rests, comps, open_rests)).union(met(open_stars.withColumn("asked", F.lit(1)), rests, comps, rests.where("asked <= 0")))
+            hubs, rests = self.as_stars(hubs.where("kind > 0"), inner, core)
             probes = owned(owned(hubs, comps, "a"), comps, "b").where("a_comp != b_comp").drop("a_comp", "b_comp")
-            more = more.union(met(probes.where("inner"), hubs, comps, True)).union(met(probes.where("not inner"), hubs.where("inner"), comps, True))
+            more = more.union(met(probes.where("inner"), rests, comps, inside=True)).union(met(probes.where("not inner"), rests, comps, rests.where("inner"), inside=True))
         more = saved(self.spark, more.distinct().join(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "open-pairs")
         if not more.isEmpty():
             comps = components(linking(self.overlaps(more)), comps)
         return comps
 
-    def shifted(self, stars: DataFrame) -> DataFrame:
-        """Stars whose centre a is taken with the leftovers that are frequent among its members; `asked` is what a member needs of any partner beyond that."""
-        often = stars.select("a", F.explode("rest").alias("s")).groupBy("a", "s").agg(F.count("*").alias("c")).where(F.col("c") > SHORT_LIST)
-        gained = often.groupBy("a").agg(F.collect_list("s").alias("gain"))  # at most the shingles of all members / SHORT_LIST
+    def leftovers(self, stars: DataFrame) -> DataFrame:
+        """(a, b, s, often): the shingles outside the centre that two members of the star at least have. Others can't be shared."""
+        each = stars.select("a", "b", F.explode("rest").alias("s"))
+        return each.join(each.groupBy("a", "s").agg(F.count("*").alias("often")).where("often > 1"), ["a", "s"])
+
+    def shifted(self, stars: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Stars (a, b, b_n, size, within, asked) whose centre is taken with the shingles outside it that more than RARE members have, and their leftovers.
+
+        `within` is what a member has in the centre so taken, `size` what it has outside, `asked` what it needs of any partner beyond the centre.
+        """
+        left = saved(self.spark, self.leftovers(stars), "leftovers")
+        gained = left.where(F.col("often") > RARE).groupBy("a", "b").agg(F.count("*").alias("gained"))
         least = stars.groupBy("a").agg(F.least(F.min("b_n"), F.min("a_n")).alias("smallest"))
-        grown = stars.join(gained, "a", "left").join(least, "a").withColumn("kept", F.when(F.col("gain").isNull(), F.col("rest")).otherwise(F.array_except("rest", "gain")))
-        within = F.col("common") + F.size("rest") - F.size("kept")
+        grown = stars.select("a", "b", "b_n", "common", F.size("rest").alias("all")).join(gained, ["a", "b"], "left").join(least, "a").fillna(0, ["gained"])
+        within = F.col("common") + F.col("gained")
         asked = F.expr(f"greatest(ceil({PERCENT} * b_n / 100), ceil({PERCENT} * (b_n + smallest) / {100 + PERCENT}))") - within
-        return grown.select("a", "b", "b_n", F.col("kept").alias("rest"), asked.alias("asked"), within.alias("within"))
+        out = saved(self.spark, grown.select("a", "b", "b_n", (F.col("all") - F.col("gained")).alias("size"), within.alias("within"), asked.alias("asked")), "stars")
+        rests = saved(self.spark, left.where(F.col("often") <= RARE).join(out.select("a", "b", "b_n", "within", "asked"), ["a", "b"]), "rests")
+        dropped(left)
+        return out, rests
 
     def hubs(self, members: DataFrame, inner: DataFrame, core: DataFrame) -> DataFrame:
         """Pairs (a, b, kind) of the core members of the inner members' lists with the smallest sets of these lists."""
@@ -434,9 +459,27 @@ class Join:
         lists = members.join(core, members["cls"] == core["b"], "left_semi").join(keys, "key", "left_semi")
         return lists.where("cls != hub").select(F.col("hub").alias("a"), F.col("cls").alias("b"), F.lit(1).alias("kind"))
 
-    def as_stars(self, hubs: DataFrame, inner: DataFrame, core: DataFrame) -> DataFrame:
+    def as_stars(self, hubs: DataFrame, inner: DataFrame, core: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The hubs as stars, with what a member has within its centre of core, and their leftovers."""
         asked = F.expr(f"greatest(1, greatest(ceil({PERCENT} * b_n / 100), ceil({PERCENT} * (a_n + b_n) / {100 + PERCENT})) - common)")
-        return hubs.withColumn("asked", asked).join(core, "b").join(inner.withColumn("inner", F.lit(True)), "b", "left").withColumn("inner", F.coalesce("inner", F.lit(False)))
+        told = hubs.withColumns({"asked": asked, "size": F.size("rest")}).join(core, "b").join(inner.withColumn("inner", F.lit(True)), "b", "left").withColumn("inner", F.coalesce("inner", F.lit(False)))
+        told = saved(self.spark, told.select("a", "b", "b_n", "size", "within", "asked", "inner", "rest"), "hubs")
+        rests = saved(self.spark, self.leftovers(told).join(told.select("a", "b", "b_n", "within", "asked", "inner"), ["a", "b"]), "hub-rests")
+        return told.drop("rest"), rests
+
+
+def starred(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b): each end with the one of its partners that has most partners, where that one has more than itself."""
+    both = pairs.union(pairs.select("b", "a"))
+    rank = both.groupBy("a").agg(F.struct(F.count("*").alias("partners"), F.max("a").alias("cls")).alias("rank"))
+    ranked = both.join(rank.select(F.col("a").alias("b"), "rank"), "b")
+    best = ranked.groupBy("a").agg(F.max("rank").alias("best")).join(rank, "a").where(F.col("best") > F.col("rank"))
+    return best.select(F.col("best")["cls"].alias("a"), F.col("a").alias("b"))
+
+
+def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose ends are in different components."""
+    return owned(owned(pairs, comps, "a"), comps, "b").where("a_comp != b_comp").select("a", "b")
 
 
 def owned(df: DataFrame, comps: DataFrame, c: str) -> DataFrame:
@@ -451,14 +494,15 @@ def outside(stars: DataFrame, comps: DataFrame) -> DataFrame:
     return own.join(sizes.groupBy("a").agg(F.max_by("b_comp", F.struct("c", "b_comp")).alias("main")), "a").where("b_comp != main").drop("main", "b_comp")
 
 
-def met(probes: DataFrame, stars: DataFrame, comps: DataFrame, inside: bool = False) -> DataFrame:
-    """Pairs (a, b) of a probe and a member of the same star in another component that share one of the probe's size - asked + 1 rarest leftovers; with `inside` only those that may link by what both have `within` a centre."""
-    columns = ["a", "b", "b_n", *["within"] * inside]
-    stored = owned(stars.select(*columns, F.explode("rest").alias("s")), comps, "b")
-    often = stored.groupBy("a", "s").agg(F.count("*").alias("often"))
-    # Leftovers that no member has can't meet one, but count in the number to take: they are the rarest.
-    probes = probes.withColumn("take", F.size("rest") - F.col("asked") + 1).where("take > 0")
-    listed = owned(probes.select(*columns, "take", F.size("rest").alias("size"), F.explode("rest").alias("s")), comps, "b").join(often, ["a", "s"])
+def met(probes: DataFrame, rests: DataFrame, comps: DataFrame, others: DataFrame | None = None, inside: bool = False) -> DataFrame:
+    """Pairs (a, b) of a probe and a member of the same star in another component that share one of the probe's size - asked + 1 rarest leftovers.
+
+    `rests` holds the leftovers of the probes, `others` those of their partners (rests if None); with `inside` only pairs that may link by what both have `within` a centre.
+    """
+    stored = owned(rests if others is None else others, comps, "b")
+    # Leftovers that no other member has can't meet one, but count in the number to take: they are the rarest.
+    probes = probes.withColumn("take", F.col("size") - F.col("asked") + 1).where("take > 0")
+    listed = owned(rests.join(probes.select("a", "b", "take", "size"), ["a", "b"]), comps, "b")
     order = Window.partitionBy("a", "b").orderBy("often", "s")
     listed = listed.withColumns({"rank": F.row_number().over(order), "shared": F.count("*").over(Window.partitionBy("a", "b"))})
     listed = listed.where(F.col("size") - F.col("shared") + F.col("rank") <= F.col("take"))
