@@ -5,22 +5,21 @@ Two light sets of sizes a and b link if they share at least c = ceil(3(a + b)/7)
 each light set lists its subsets of c shingles for every partner size that can link; classes that meet in a key of
 (a, b, subset) are linked, with nothing to verify. Larger sets are found by scanning inverted lists: each set enters the
 lists of its n - ceil(0.75 n) + 1 first shingles in a common order, in which shingles that are frequent in many lists
-come last, so that passages which many documents share seldom open a list. The boundary x is the one of least
+come last, so that passages which many documents share seldom open a list (what is frequent is told by repeats inside
+partitions; it bears on the cost alone). The boundary x is the one of least
 estimated cost over the sizes that occur.
 
 Pairs of a short list are counted over all short lists; two sets that share too few of their first shingles to link are
-left out by that count, the rest verified. A long list is not paired: each member is verified against the list's centre
-and the centres of its size band and the next one, which tells most components. A pair that joins two components has one
-member x outside the list's most frequent component. Let C be the centre with all shingles that are frequent among the
-members. If x lies in C by less than it needs of any partner, it shares at least the difference with its partner outside
-C; so x is joined again by as many of its rarest shingles outside C as that number allows, with what all members have
-outside C. Other members x are verified against the list's next centres. For those that are still outside, partners that
-lie in C by less than they need are joined from their side, and those that share any shingle with x outside C by it. Of
-the other pairs only those can link whose members both lie in C by the overlap they need; these are verified against the
-smallest set p of the list: of a pair one does not link to p, and needs of its partner, which is no smaller than p, at
-least what it would need of p, so both share the rest outside p. A group of many copies so costs
-links in its number, and no pair that may join two components is left unverified: the result is exact, whatever is
-frequent.
+left out by that count. Of the others each class is verified against the partner with most partners first, then only
+pairs that are still in different components. A long list is not paired: each member is verified against the list's
+centre C and the centres of its size band and the next one, which tells most components. What more than RARE members
+have outside C is counted in with it. A linked pair that joins two components shares enough within C, or it shares
+something outside. In the second case one of its members, which is not in the list's most frequent component, is
+joined by its rarest shingles outside C, as many of them as what it lacks within C allows. In the first case let s be
+the smaller of both sizes: both members are verified against a centre of size s, and as one of them does not link to
+it and needs no less of its partner than of this centre, both share something outside, by which they are joined. A
+group of many copies so costs links in its number, and no pair that may join two components is left unverified: the
+result is exact, whatever is frequent.
 
 Shingles are 64-bit hashes. Results for odd input: null text or text without words has no shingles (n_shingles 0) and
 is a component of its own; fewer than five words are one shingle; repeated rows are in one component; rows without
@@ -46,16 +45,16 @@ from palimpsest.runtime import arrow_rows, saved, ship, table
 SHINGLE, PERCENT = 5, 75
 #: Sizes whose numbers the driver gets to choose the boundary from (one set of this size has more than 1e40 subsets); cost of a posting in terms of one subset key.
 SIZES, POSTING_COST = 256, 4
-#: Words of a task's cache; characters at once; shingles put last in the order (1 MB at most); least number of repeats inside partitions of a frequent one; slots (32 MB) that tell repeats.
-ENTRIES, CHUNK, LAST, FREQUENT, SLOTS = 200_000, 4_000_000, 131_072, 32, 1 << 25
+#: Words of a task's cache; characters at once; shingles put last in the order (4 MB at most); least number of repeats inside partitions of a frequent one; bits (32 MB) that tell repeats.
+ENTRIES, CHUNK, LAST, FREQUENT, SLOTS = 200_000, 4_000_000, 524_288, 4, 1 << 28
 #: Bits of the filter that tells which sets verification needs (1 MB).
 FILTER_BITS = 23
 #: Members up to which a list is short; members of a star up to which a shingle outside its centre is rare.
 SHORT_LIST, RARE = 16, 64
 #: Ratio of the sizes that share a centre.
 BAND = 1.15
-#: Mark of a pair with a list's centre, and centres that a member is verified against where the first leaves it open.
-CENTRE, CENTRES = 2, 8
+#: Mark of a pair with a list's centre.
+CENTRE = 1
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -193,24 +192,25 @@ _ROWS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64(
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: each row's set size and class. Kind 1: shingles (cls) that prefixes of this partition had before, n times in a chunk; a slot may tell one too many."""
+    """Kind 0: each row's set size and class. Kind 1: shingles (cls) that other classes of this partition had before, n times in a chunk; a bit may tell one too many."""
     seen: set[int] = set()
-    slots = np.zeros(SLOTS, bool)
-    none = np.zeros(0, np.uint64)
+    slots = np.zeros(SLOTS >> 6, np.uint64)
     for ids, sets in _chunks(batches):
         classes = [class_of(s) for s in sets]
         firsts = []
         for c, s in zip(classes, sets, strict=True):
             if c is not None and c not in seen:
                 seen.add(c)
-                firsts.append(prefix(s, none))
+                firsts.append(s)
         yield _batch(_ROWS, [0] * len(ids), ids, list(map(len, sets)), classes)
         if firsts:
             # With df copies over p partitions about df^2 / 2p pairs fall together, so what is frequent shows at any size.
-            found, count = np.unique(np.concatenate(firsts), return_counts=True)
-            at = (found & np.uint64(SLOTS - 1)).astype(np.int64)
-            count = count - 1 + slots[at]
-            slots[at] = True
+            found = np.sort(np.concatenate(firsts))
+            start = np.flatnonzero(np.concatenate([_TRUE, found[1:] != found[:-1]]))
+            count, found = np.diff(start, append=len(found)), found[start]
+            at, bit = (found >> np.uint64(6) & np.uint64((SLOTS >> 6) - 1)).astype(np.int64), np.uint64(1) << (found & np.uint64(63))
+            count = count - 1 + (slots[at] & bit > 0)
+            np.bitwise_or.at(slots, at, bit)
             found, count = found[count > 0], count[count > 0]
             if len(found):
                 yield _batch(_ROWS, [1] * len(found), [None] * len(found), count, found.view(np.int64))
@@ -362,22 +362,20 @@ class Join:
         dropped(pairs)
         return out
 
-    def central(self, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Pairs (a, b, kind) of each member of a long list with its centre (kind 2) and those of its size band and the next one (kind 0), and (key, a) of the CENTRES first centres.
+    def central(self, members: DataFrame) -> DataFrame:
+        """Pairs (a, b, kind) of each member of a long list with its centre (kind 1) and those of its size band and the next one (kind 0).
 
         A centre is the member with the greatest part of its prefix in long lists: the one with the fewest words of its own.
         """
         own = members.groupBy("cls").agg(F.count("*").alias("c"))
         score = F.struct((F.col("c") / (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)).alias("part"), "n", "cls")
-        scored = members.join(own, "cls").select("key", "band", score.alias("score"))
-        best = saved(self.spark, scored.groupBy("key", "band").agg(F.max("score").alias("score")), "centres")
+        best = saved(self.spark, members.join(own, "cls").groupBy("key", "band").agg(F.max(score).alias("score")), "centres")
         of_list = best.groupBy("key").agg(F.max("score")["cls"].alias("a"))
         of_band = best.select("key", "band", F.col("score")["cls"].alias("a"))
         asked = members.select("key", F.col("cls").alias("b"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
         whole = members.select("key", F.col("cls").alias("b")).join(of_list, "key").select("a", "b", F.lit(CENTRE).alias("kind"))
         banded = asked.join(of_band, ["key", "band"]).select("a", "b", F.lit(0).alias("kind"))
-        first = scored.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score")))).where(F.col("rank") <= CENTRES)
-        return whole.union(banded).where("a != b"), first.select("key", F.col("score")["cls"].alias("a"))
+        return whole.union(banded).where("a != b")
 
     def sets_of(self, ends: DataFrame) -> DataFrame:
         """(cls, shingles) of the classes c of ends, and of some others; the texts are read again."""
@@ -393,41 +391,33 @@ class Join:
         heavy = self.lists.where("kind = 0")
         long = heavy.where(F.col("at") == SHORT_LIST).select("key")
         near = saved(self.spark, self.near(heavy.join(long, "key", "left_anti").select("key", "cls", "n")), "near")
-        members = saved(self.spark, heavy.join(long, "key", "left_semi").select("key", "cls", "n", "hub", F.floor(F.log(BAND, "n")).cast("int").alias("band")), "long-lists")
+        members = saved(self.spark, heavy.join(long, "key", "left_semi").select("key", "cls", "n", F.floor(F.log(BAND, "n")).cast("int").alias("band")), "long-lists")
         links = saved(self.spark, self.light_links(), "light-links")
         dropped(self.lists)
         self.sets = self.sets_of(near.select(F.explode(F.array("a", "b")).alias("c")).union(members.select("cls")).distinct())
-        pairs, first = self.central(members)
-        found = self.overlaps(starred(near).withColumn("kind", F.lit(0)).union(pairs).groupBy("a", "b").agg(F.bit_or("kind").alias("kind")), "kind > 0")
+        found = self.overlaps(starred(near).withColumn("kind", F.lit(0)).union(self.central(members)).groupBy("a", "b").agg(F.max("kind").alias("kind")), "kind > 0")
         comps = components(links.union(linking(found)))
-        more = saved(self.spark, apart(near, comps).join(found.select("a", "b"), ["a", "b"], "left_anti").join(found.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "open-near")
+        told = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = saved(self.spark, apart(near, comps).join(told, ["a", "b"], "left_anti"), "open-near")
         if not more.isEmpty():
             comps = components(linking(self.overlaps(more)), comps)
-        return self.across(members, first, found.where("kind > 0"), comps)
+        return self.across(found.where("kind > 0"), told, comps)
 
-    def across(self, members: DataFrame, first: DataFrame, found: DataFrame, comps: DataFrame) -> DataFrame:
-        """comps with the links between components of one long list."""
+    def across(self, found: DataFrame, told: DataFrame, comps: DataFrame) -> DataFrame:
+        """comps with the links between components of one long list; `told` are pairs that need not be verified again."""
         stars, rests = self.shifted(found)
-        inner = saved(self.spark, outside(stars, comps).where("asked <= 0").select("b").distinct(), "inner")
-        hubs = None
-        if not inner.isEmpty():
-            # Members mostly in a centre that they do not link to: the other centres of their lists and the hubs come next.
-            more = members.join(inner.withColumnRenamed("b", "cls"), "cls", "left_semi").join(first, "key").where("a != cls").select("a", F.col("cls").alias("b"))
-            core = stars.where("asked <= 0").groupBy("b").agg(F.max("within").alias("within"))
-            hubs = self.overlaps(more.withColumn("kind", F.lit(0)).union(self.hubs(members, inner, core)).groupBy("a", "b").agg(F.max("kind").alias("kind")), "kind > 0")
-            comps = components(linking(hubs), comps)
-            inner = saved(self.spark, outside(stars, comps).where("asked <= 0").select("b").distinct(), "inner")
-        probes = outside(stars, comps).where("asked > 0")
-        more = met(probes, rests, comps)
-        if hubs is not None and not inner.isEmpty():
-            open_stars = stars.join(inner, "b", "left_semi")
-            open_rests = rests.join(open_stars.select("a", "b"), ["a", "b"], "left_semi")
-            others = stars.where("asked > 0").join(open_stars.select("a").distinct(), "a", "left_semi")
-            more = more.union(met(others, rests, comps, open_rests)).union(met(open_stars.withColumn("asked", F.lit(1)), rests, comps, rests.where("asked <= 0")))
-            hubs, rests = self.as_stars(hubs.where("kind > 0"), inner, core)
-            probes = owned(owned(hubs, comps, "a"), comps, "b").where("a_comp != b_comp").drop("a_comp", "b_comp")
-            more = more.union(met(probes.where("inner"), rests, comps, inside=True)).union(met(probes.where("not inner"), rests, comps, rests.where("inner"), inside=True))
-        more = saved(self.spark, more.distinct().join(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "open-pairs")
+        open_ = saved(self.spark, outside(stars, comps), "open")
+        asked = saved(self.spark, self.inside(stars, open_), "inside")
+        more = None
+        if not asked.isEmpty():
+            found = self.overlaps(self.sized(stars, asked), "true")
+            comps = components(linking(found), comps)
+            probes = owned(owned(found, comps, "a"), comps, "b").where("a_comp != b_comp")
+            needed = F.expr(f"ceil({PERCENT} * (a_n + b_n) / {100 + PERCENT})") - F.col("common")
+            probes = probes.select("a", "b", F.size("rest").alias("size"), needed.alias("asked"))
+            more = met(probes, self.leftovers(found).join(found.select("a", "b", "a_n", "b_n"), ["a", "b"]), comps, F.col("p.a_n") == F.least("p.b_n", "q.b_n"))
+        pairs = met(open_.withColumn("asked", F.greatest("asked", F.lit(1))), rests, comps)
+        more = saved(self.spark, (pairs if more is None else pairs.union(more)).distinct().join(told, ["a", "b"], "left_anti"), "open-pairs")
         if not more.isEmpty():
             comps = components(linking(self.overlaps(more)), comps)
         return comps
@@ -438,7 +428,7 @@ class Join:
         return each.join(each.groupBy("a", "s").agg(F.count("*").alias("often")).where("often > 1"), ["a", "s"])
 
     def shifted(self, stars: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Stars (a, b, b_n, size, within, asked) whose centre is taken with the shingles outside it that more than RARE members have, and their leftovers.
+        """Stars (a, b, b_n, size, within, asked) whose centre is taken with the shingles outside it that more than RARE members have, and their other leftovers.
 
         `within` is what a member has in the centre so taken, `size` what it has outside, `asked` what it needs of any partner beyond the centre.
         """
@@ -449,23 +439,22 @@ class Join:
         within = F.col("common") + F.col("gained")
         asked = F.expr(f"greatest(ceil({PERCENT} * b_n / 100), ceil({PERCENT} * (b_n + smallest) / {100 + PERCENT}))") - within
         out = saved(self.spark, grown.select("a", "b", "b_n", (F.col("all") - F.col("gained")).alias("size"), within.alias("within"), asked.alias("asked")), "stars")
-        rests = saved(self.spark, left.where(F.col("often") <= RARE).join(out.select("a", "b", "b_n", "within", "asked"), ["a", "b"]), "rests")
+        rests = saved(self.spark, left.where(F.col("often") <= RARE).join(out.select("a", "b", "b_n"), ["a", "b"]), "rests")
         dropped(left)
         return out, rests
 
-    def hubs(self, members: DataFrame, inner: DataFrame, core: DataFrame) -> DataFrame:
-        """Pairs (a, b, kind) of the core members of the inner members' lists with the smallest sets of these lists."""
-        keys = members.join(inner.withColumnRenamed("b", "cls"), "cls", "left_semi").select("key").distinct()
-        lists = members.join(core, members["cls"] == core["b"], "left_semi").join(keys, "key", "left_semi")
-        return lists.where("cls != hub").select(F.col("hub").alias("a"), F.col("cls").alias("b"), F.lit(1).alias("kind"))
+    def inside(self, stars: DataFrame, open_: DataFrame) -> DataFrame:
+        """(a, s): stars that may have a linked pair, one of it in open_, whose members share enough within the centre alone, and the size of its smaller one."""
+        sizes = stars.select("a", F.col("b_n").alias("y_n"), F.col("within").alias("y_within")).distinct()
+        both = F.expr(f"least(within, y_within) * {100 + PERCENT} >= {PERCENT} * (b_n + y_n)")
+        return open_.join(sizes, "a").where(both & _can_link("b_n", "y_n")).select("a", F.least("b_n", "y_n").alias("s")).distinct()
 
-    def as_stars(self, hubs: DataFrame, inner: DataFrame, core: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The hubs as stars, with what a member has within its centre of core, and their leftovers."""
-        asked = F.expr(f"greatest(1, greatest(ceil({PERCENT} * b_n / 100), ceil({PERCENT} * (a_n + b_n) / {100 + PERCENT})) - common)")
-        told = hubs.withColumns({"asked": asked, "size": F.size("rest")}).join(core, "b").join(inner.withColumn("inner", F.lit(True)), "b", "left").withColumn("inner", F.coalesce("inner", F.lit(False)))
-        told = saved(self.spark, told.select("a", "b", "b_n", "size", "within", "asked", "inner", "rest"), "hubs")
-        rests = saved(self.spark, self.leftovers(told).join(told.select("a", "b", "b_n", "within", "asked", "inner"), ["a", "b"]), "hub-rests")
-        return told.drop("rest"), rests
+    def sized(self, stars: DataFrame, asked: DataFrame) -> DataFrame:
+        """Pairs (a, b) of a member of size s that has most within the centre, and all members of its star that can link to size s within it."""
+        centres = stars.join(asked.withColumnRenamed("s", "b_n"), ["a", "b_n"]).groupBy("a", "b_n").agg(F.max_by("b", F.struct("within", "b")).alias("own"))
+        enough = F.expr(f"within * {100 + PERCENT} >= {PERCENT} * (b_n + s)")
+        pairs = stars.join(centres.withColumnRenamed("b_n", "s"), "a").where((F.col("b_n") >= F.col("s")) & _can_link("b_n", "s") & enough)
+        return pairs.select(F.col("own").alias("a"), "b").where("a != b").distinct()
 
 
 def starred(pairs: DataFrame) -> DataFrame:
@@ -494,23 +483,18 @@ def outside(stars: DataFrame, comps: DataFrame) -> DataFrame:
     return own.join(sizes.groupBy("a").agg(F.max_by("b_comp", F.struct("c", "b_comp")).alias("main")), "a").where("b_comp != main").drop("main", "b_comp")
 
 
-def met(probes: DataFrame, rests: DataFrame, comps: DataFrame, others: DataFrame | None = None, inside: bool = False) -> DataFrame:
-    """Pairs (a, b) of a probe and a member of the same star in another component that share one of the probe's size - asked + 1 rarest leftovers.
-
-    `rests` holds the leftovers of the probes, `others` those of their partners (rests if None); with `inside` only pairs that may link by what both have `within` a centre.
-    """
-    stored = owned(rests if others is None else others, comps, "b")
+def met(probes: DataFrame, rests: DataFrame, comps: DataFrame, only=None) -> DataFrame:
+    """Pairs (a, b) of a probe and a member of the same star in another component that share one of the probe's size - asked + 1 rarest leftovers."""
+    stored = owned(rests, comps, "b")
     # Leftovers that no other member has can't meet one, but count in the number to take: they are the rarest.
     probes = probes.withColumn("take", F.col("size") - F.col("asked") + 1).where("take > 0")
-    listed = owned(rests.join(probes.select("a", "b", "take", "size"), ["a", "b"]), comps, "b")
+    listed = stored.join(probes.select("a", "b", "take", "size"), ["a", "b"])
     order = Window.partitionBy("a", "b").orderBy("often", "s")
     listed = listed.withColumns({"rank": F.row_number().over(order), "shared": F.count("*").over(Window.partitionBy("a", "b"))})
     listed = listed.where(F.col("size") - F.col("shared") + F.col("rank") <= F.col("take"))
     p, q = listed.alias("p"), stored.alias("q")
-    near = _can_link("p.b_n", "q.b_n")
-    if inside:
-        near &= F.expr(f"least(p.within, q.within) * {100 + PERCENT} >= {PERCENT} * (p.b_n + q.b_n)")
-    meet = p.join(q, (F.col("p.a") == F.col("q.a")) & (F.col("p.s") == F.col("q.s")) & (F.col("p.b_comp") != F.col("q.b_comp")) & near)
+    near = (F.col("p.b_comp") != F.col("q.b_comp")) & _can_link("p.b_n", "q.b_n")
+    meet = p.join(q, (F.col("p.a") == F.col("q.a")) & (F.col("p.s") == F.col("q.s")) & (near if only is None else near & only))
     return meet.select(F.least("p.b", "q.b").alias("a"), F.greatest("p.b", "q.b").alias("b")).distinct()
 
 
