@@ -13,8 +13,6 @@ memory is linear in its length.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import appended, field, vocabulary
+from palimpsest.llm.common import appended, field, held, vocabulary
 from palimpsest.runtime import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LONG = 512
-#: Bytes of pre-tokens in one recursive query, and entries of a worker's caches; both only bound memory.
-CHUNK, ENTRIES = 250_000, 400_000
+#: Bytes of pre-tokens in one recursive query, entries of a worker's cache and bytes of one; they only bound memory.
+CHUNK, ENTRIES, KEPT = 250_000, 400_000, 512
 #: White space; where none meets other white space or an end of the text, each single space or newline is a pre-token boundary.
 BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 UNEVEN = rf"{BLANK}{BLANK}|\A{BLANK}|{BLANK}\z"
@@ -64,16 +62,18 @@ select g >> 20 as w, list(tok order by g) as ids from state where done group by
 STEP = """
 create or replace temp table long_next as
 with pairs as (
-  select pos, tok, lead(tok) over o as next_tok, row_number() over o as i from long_state window o as (order by pos)
+  select w, pos, tok, lead(tok) over o as next_tok, row_number() over o as i from long_state window o as (partition by w order by pos)
 ), ranked as (
-  select p.*, m.rank from pairs p left join merges m on m.pair = ((p.tok << 20) | p.next_tok)
+  select p.*, m.rank, m.safe from pairs p left join merges m on m.pair = ((p.tok << 20) | p.next_tok)
+), low as (
+  select w, min(rank) as rank from ranked group by w
 ), hits as (
-  select i, rank, i - row_number() over (order by i) as run from ranked where rank = (select min(rank) from ranked)
+  select w, i, rank, safe, row_number() over (partition by w order by i) as nth from ranked join low using (w, rank)
 ), taken as (
-  select i, rank from (select *, row_number() over (partition by run order by i) as k from hits) where k % 2 = 1
+  select w, i, rank from (select *, row_number() over (partition by w, i - nth order by i) as k from hits) where k % 2 = 1 and (safe or nth = 1)
 )
-select r.pos, coalesce(t.rank, r.tok) as tok
-from ranked r left join taken t on t.i = r.i left join taken b on b.i = r.i - 1
+select r.w, r.pos, coalesce(t.rank, r.tok) as tok
+from ranked r left join taken t on t.w = r.w and t.i = r.i left join taken b on b.w = r.w and b.i = r.i - 1
 where b.i is null
 """
 
@@ -84,41 +84,25 @@ from tokens t join vocab v on v.id = t.id group by t.doc
 
 
 def merge_table(ranks: dict[bytes, int]) -> pa.Table:
-    """Every split of a token into two tokens, with the token's rank."""
-    pair, rank = [], []
+    """Every split of a token into two tokens, with the token's rank, and whether no merge of that token with a neighbour has a lower one."""
+    pair, rank, least = [], [], {}
     for t, r in ranks.items():
         for i in range(1, len(t)):
             a, b = ranks.get(t[:i]), ranks.get(t[i:])
             if a is not None and b is not None:
                 pair.append((a << 20) | b)
                 rank.append(r)
-    return pa.table({"pair": pa.array(pair, pa.int64()), "rank": pa.array(rank, pa.int64())})
+                least[a], least[b] = min(r, least.get(a, r)), min(r, least.get(b, r))
+    safe = [least.get(r, r + 1) > r for r in rank]
+    return pa.table({"pair": pa.array(pair, pa.int64()), "rank": pa.array(rank, pa.int64()), "safe": safe})
 
 
 def ranks_of(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a}
 
 
-class Cache:
-    """Entries in two generations: as one fills, what was not asked for since the last one filled goes."""
-
-    def __init__(self) -> None:
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def known(self, keys: Iterable[str]) -> dict[str, bytes]:
-        young, old = self.young, self.old
-        out = {k: young[k] for k in keys if k in young}
-        return out | {k: old[k] for k in keys if k in old}
-
-    def add(self, entries: dict[str, bytes]) -> None:
-        self.young.update((k, v) for k, v in entries.items() if len(k) <= LONG)
-        if 2 * len(self.young) > ENTRIES:
-            self.young, self.old = {}, self.young
-
-
 class Codec:
-    """A worker's DuckDB connection with the merge table and the vocabulary, and its bounded caches."""
+    """A worker's DuckDB connection with the merge table and the vocabulary, and its bounded cache."""
 
     def __init__(self, raw: bytes, pattern: str) -> None:
         import duckdb
@@ -129,7 +113,7 @@ class Codec:
         self.create("vocab", pa.table({"id": pa.array(self.ranks.values(), pa.int64()), "hex": [t.hex() for t in self.ranks]}))
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         self.split = regex.compile(pattern).findall
-        self.units, self.words = Cache(), Cache()
+        self.known: dict[str, bytes] = {}
 
     def create(self, name: str, rows: pa.Table) -> None:
         self.db.register("given", rows)
@@ -158,22 +142,28 @@ class Codec:
         ends, flat_ids = ids.offsets.to_numpy(), ids.values.to_numpy().astype(np.int32)
         return [flat_ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
-    def contract_long(self, word: bytes) -> bytes:
-        """The same for one long pre-token: each step contracts all places of the minimum-rank pair, left to right."""
-        tok = self.byte[np.frombuffer(word, dtype=np.uint8)]
-        self.db.register("given_long", pa.table({"pos": np.arange(len(tok)), "tok": tok}))
+    def contract_long(self, words: list[bytes]) -> list[bytes]:
+        """The same for long pre-tokens, keeping one state instead of all: a step contracts each word's places of its minimum-rank pair from left to right.
+
+        Where a merge of the new token may have a lower rank, which would come before the next place, only the leftmost is contracted.
+        """
+        lens = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        tok = self.byte[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        self.db.register("given_long", pa.table({"w": np.repeat(np.arange(len(words)), lens), "pos": np.arange(len(tok)), "tok": tok}))
         self.db.execute("create or replace temp table long_state as select * from given_long")
         self.db.unregister("given_long")
         count = len(tok)
         while True:
             self.db.execute(STEP)
-            self.db.execute("create or replace temp table long_state as select * from long_next")
+            self.db.execute("drop table long_state; alter table long_next rename to long_state")
             left = self.db.execute("select count(*) from long_state").fetchall()[0][0]
             if left == count:
                 break
             count = left
-        found = self.db.sql("select tok from long_state order by pos").to_arrow_table()["tok"].to_numpy()
-        return found.astype(np.int32).tobytes()
+        found = self.db.sql("select w, list(tok order by pos) as ids from long_state group by w order by w").to_arrow_table()["ids"].combine_chunks()
+        self.db.execute("drop table long_state")
+        ends, flat = found.offsets.to_numpy(), found.values.to_numpy().astype(np.int32)
+        return [flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def unit_lists(self, texts: pa.Array) -> pa.Array:
         """Lists of pieces of the texts that begin and end where pre-tokens do."""
@@ -185,22 +175,27 @@ class Codec:
         return pc.split_pattern(pc.replace_with_mask(marked, uneven, pa.array(slow, pa.large_binary())), MARK)
 
     def unit_ids(self, wanted: list[str]) -> list[bytes]:
-        """Packed ids of each unit, from the caches or by contraction."""
-        if not self.merging:  # a worker that only decodes never needs them
+        """Packed ids of each unit, from what is known or by contraction. A unit of one pre-token is known by the same key."""
+        if not self.merging:  # a task that only decodes never needs them
             self.create("merges", merge_table(self.ranks))
             self.merging = True
-        units = self.units.known(wanted)
-        parts = {u: self.split(u) for u in wanted if u not in units}
-        asked = set().union(*parts.values())
-        words = self.words.known(asked)
-        fresh = {w: w.encode() for w in asked if w not in words}
-        short = [w for w, data in fresh.items() if len(data) <= LONG]
-        words.update(zip(short, self.contract([fresh[w] for w in short]), strict=True))
-        words.update((w, self.contract_long(data)) for w, data in fresh.items() if len(data) > LONG)
-        units.update((u, b"".join(map(words.__getitem__, x))) for u, x in parts.items())
-        self.words.add(words)
-        self.units.add(units)
-        return list(map(units.__getitem__, wanted))
+        known = self.known
+        found = list(map(known.get, wanted))
+        missing = [i for i, f in enumerate(found) if f is None]
+        parts = [self.split(wanted[i]) for i in missing]
+        fresh = list({w for x in parts for w in x if w not in known})
+        data = [w.encode() for w in fresh]
+        short = [i for i, d in enumerate(data) if len(d) <= LONG]
+        words = dict(zip((fresh[i] for i in short), self.contract([data[i] for i in short]), strict=True))
+        if len(short) < len(fresh):
+            long = [i for i, d in enumerate(data) if len(d) > LONG]
+            words.update(zip((fresh[i] for i in long), self.contract_long([data[i] for i in long]), strict=True))
+        for i, x in zip(missing, parts, strict=True):
+            found[i] = b"".join([words.get(w) or known[w] for w in x])
+        if len(known) + len(words) > ENTRIES:
+            known.clear()
+        known.update((w, v) for w, v in words.items() if len(v) <= KEPT)
+        return found
 
     def encode(self, texts: list[str | None]) -> pa.ListArray:
         """Ids of each text."""
@@ -232,25 +227,14 @@ class Codec:
         return out
 
 
-_codecs: dict[tuple[int, str], Codec] = {}
-
-
-def codec(raw: bytes, pattern: str) -> Codec:
-    key = (hash(raw), pattern)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(raw, pattern)
-    return _codecs[key]
-
-
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
+def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None) -> DataFrame:
     """df with array<int> `ids`: the BPE tokens of the whole text, without special tokens."""
     import public_tokenizers
 
-    raw, pattern = df.sparkSession.sparkContext.broadcast(vocabulary(path, VOCABULARY)), pattern or public_tokenizers.PATTERN
+    raw, pattern = df.sparkSession.sparkContext.broadcast(vocabulary(path, VOCABULARY)), public_tokenizers.PATTERN
 
     def make():
-        own = codec(raw.value, pattern)
+        own = held(("codec", hash(raw.value)), lambda: Codec(raw.value, pattern))
 
         def work(values):
             return [own.encode(values[text].to_pylist())]
@@ -267,7 +251,7 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | No
     raw, pattern = df.sparkSession.sparkContext.broadcast(vocabulary(path, VOCABULARY)), public_tokenizers.PATTERN
 
     def make():
-        own = codec(raw.value, pattern)
+        own = held(("codec", hash(raw.value)), lambda: Codec(raw.value, pattern))
         return lambda values: [own.decode(values[ids])]
 
     return appended(df, [ids], [field(out, T.BinaryType())], make, drop=drop)

@@ -41,18 +41,38 @@ def appended(
     kinds = [pa_type(f.dataType) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
+        work = None  # made by the first rows, gone with the task
         for b in batches:
             if not b.num_rows:
                 continue
+            work = work or make()
             columns = [b.column(i) for i in range(len(kept))]
             values = {c: b.column(kept.index(c) if c in kept else len(kept) + extra.index(c)) for c in needs}
             made = [a if isinstance(a, pa.Array) else pa.array(a, k) for a, k in zip(work(values), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(columns + made, names=[f.name for f in schema.fields])
+        del work
+        pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, schema)
 
 
+_held: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What this worker keeps from task to task: one object, made anew where another operator or query had its own."""
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Let go of what this worker keeps: it may run tasks of other stages."""
+    _held.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def pa_type(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -62,9 +82,3 @@ def pa_type(kind: T.DataType) -> pa.DataType:
 def field(name: str, kind: T.DataType) -> T.StructField:
     return T.StructField(name, kind, True)
 
-
-def conf_bytes(spark: SparkSession, key: str, default: int) -> int:
-    try:
-        return int(spark.conf.get(key))
-    except Exception:  # noqa: BLE001  unset or with a unit
-        return default

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import appended, field, vocabulary
+from palimpsest.llm.common import appended, field, held, vocabulary
 from palimpsest.runtime import saved, table
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -188,22 +188,16 @@ def fit(docs: DataFrame, raw: bytes) -> tuple[list[str], np.ndarray, dict[str, i
     return langs, probs, pieces
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def identify(docs: DataFrame, path: str | None = None, model: tuple | None = None) -> DataFrame:
     """docs with held_out, lang_pred and score, the best language's share of the probability of an average word."""
     spark = docs.sparkSession
     langs, probs, pieces = model or fit(docs, vocabulary(path, VOCABULARY))
-    given = spark.sparkContext.broadcast((langs, probs.astype(np.float32), pieces))  # vocabulary times languages, whatever the number of documents
     key = uuid.uuid4().hex
+    given = spark.sparkContext.broadcast((langs, probs.astype(np.float32), pieces))  # vocabulary times languages, whatever the number of documents
 
     def make():
         names, table_, known = given.value
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(known, table_.astype(np.float64))
-        own = _scorers[key]
+        own = held(key, lambda: Scorer(known, table_.astype(np.float64)))
 
         def work(values):
             texts = [t or "" for t in values["text"].to_pylist()]

@@ -16,7 +16,7 @@ import base64
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import appended, field, vocabulary
+from palimpsest.llm.common import appended, field, held, vocabulary
 from palimpsest.runtime import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -89,23 +89,12 @@ class Counts(dict):
         return n
 
 
-_made: dict[int, Counts] = {}
-
-
-def counts_of(raw: bytes) -> Counts:
-    key = hash(raw)
-    if key not in _made:
-        _made.clear()
-        _made[key] = Counts(Automaton([base64.b64decode(x.split()[0]) for x in raw.splitlines() if x]))
-    return _made[key]
-
-
 def token_counts(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """df with n_words and n_tokens (long) of the whole text. The vocabulary is a file of public ranks."""
     raw = df.sparkSession.sparkContext.broadcast(vocabulary(path, VOCABULARY))
 
     def make():
-        counts = counts_of(raw.value)
+        counts = held(("counts", hash(raw.value)), lambda: Counts(Automaton([base64.b64decode(x.split()[0]) for x in raw.value.splitlines() if x])))
 
         def work(values):
             words = [(t or "").encode("utf-8", "surrogatepass").split() for t in values[text].to_pylist()]
