@@ -40,6 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import release
 from palimpsest.runtime import arrow_rows, saved, ship, table
 
 SHINGLE, PERCENT = 5, 75
@@ -173,6 +174,7 @@ def boundary(sizes: dict[int, int]) -> int:
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Ids and shingle sets of at most about CHUNK characters at once."""
+    release()
     known = Words()
     for b in batches:
         ids, texts, at, size = b.column(0).to_pylist(), b.column(1).to_pylist(), 0, 0
@@ -405,8 +407,9 @@ class Join:
 
     def across(self, found: DataFrame, told: DataFrame, comps: DataFrame) -> DataFrame:
         """comps with the links between components of one long list; `told` are pairs that need not be verified again."""
-        stars, rests = self.shifted(found)
-        open_ = saved(self.spark, outside(stars, comps), "open")
+        open_ = saved(self.spark, outside(found.select("a", "b"), comps), "open")
+        stars, rests = self.shifted(found, open_)
+        open_ = stars.join(open_, ["a", "b"], "left_semi")
         asked = saved(self.spark, self.inside(stars, open_), "inside")
         more = None
         if not asked.isEmpty():
@@ -414,25 +417,28 @@ class Join:
             comps = components(linking(found), comps)
             probes = owned(owned(found, comps, "a"), comps, "b").where("a_comp != b_comp")
             needed = F.expr(f"ceil({PERCENT} * (a_n + b_n) / {100 + PERCENT})") - F.col("common")
-            probes = probes.select("a", "b", F.size("rest").alias("size"), needed.alias("asked"))
-            more = met(probes, self.leftovers(found).join(found.select("a", "b", "a_n", "b_n"), ["a", "b"]), comps, F.col("p.a_n") == F.least("p.b_n", "q.b_n"))
+            probes = saved(self.spark, probes.select("a", "b", F.size("rest").alias("size"), needed.alias("asked")), "probes")
+            more = met(probes, self.leftovers(found, probes).join(found.select("a", "b", "a_n", "b_n"), ["a", "b"]), comps, F.col("p.a_n") == F.least("p.b_n", "q.b_n"))
         pairs = met(open_.withColumn("asked", F.greatest("asked", F.lit(1))), rests, comps)
         more = saved(self.spark, (pairs if more is None else pairs.union(more)).distinct().join(told, ["a", "b"], "left_anti"), "open-pairs")
         if not more.isEmpty():
             comps = components(linking(self.overlaps(more)), comps)
         return comps
 
-    def leftovers(self, stars: DataFrame) -> DataFrame:
-        """(a, b, s, often): the shingles outside the centre that two members of the star at least have. Others can't be shared."""
-        each = stars.select("a", "b", F.explode("rest").alias("s"))
+    def leftovers(self, stars: DataFrame, open_: DataFrame) -> DataFrame:
+        """(a, b, s, often): the shingles outside the centre that an open member has and two members of its star at least. By others no open member can be joined."""
+        each = stars.join(open_.select("a").distinct(), "a", "left_semi").select("a", "b", F.explode("rest").alias("s"))
+        asked = stars.join(open_.select("a", "b"), ["a", "b"], "left_semi").select("a", F.explode("rest").alias("s")).groupBy("a", "s").agg(F.count("*").alias("c"))
+        each = each.join(asked.select("a", "s"), ["a", "s"], "left_semi")
         return each.join(each.groupBy("a", "s").agg(F.count("*").alias("often")).where("often > 1"), ["a", "s"])
 
-    def shifted(self, stars: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Stars (a, b, b_n, size, within, asked) whose centre is taken with the shingles outside it that more than RARE members have, and their other leftovers.
+    def shifted(self, stars: DataFrame, open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Stars (a, b, b_n, size, within, asked) with open members, whose centre is taken with the leftovers that more than RARE members have, and their other leftovers.
 
         `within` is what a member has in the centre so taken, `size` what it has outside, `asked` what it needs of any partner beyond the centre.
         """
-        left = saved(self.spark, self.leftovers(stars), "leftovers")
+        stars = stars.join(open_.select("a").distinct(), "a", "left_semi")
+        left = saved(self.spark, self.leftovers(stars, open_), "leftovers")
         gained = left.where(F.col("often") > RARE).groupBy("a", "b").agg(F.count("*").alias("gained"))
         least = stars.groupBy("a").agg(F.least(F.min("b_n"), F.min("a_n")).alias("smallest"))
         grown = stars.select("a", "b", "b_n", "common", F.size("rest").alias("all")).join(gained, ["a", "b"], "left").join(least, "a").fillna(0, ["gained"])
