@@ -24,7 +24,7 @@ def validate(size: int, count: int, digest_length: int) -> None:
 
 
 def flat(object_id: Column) -> Column:
-    return F.when(~F.contains(object_id, F.lit("/")) & (F.lower(object_id) != "extensions") & (object_id != ""), object_id)
+    return F.when(~F.contains(object_id, F.lit("/")) & (object_id != "extensions"), object_id)
 
 
 def hashed_ntuple(object_id: Column, size: int = 3, count: int = 3, short_root: bool = False, algorithm: str = "sha256") -> Column:
@@ -44,7 +44,7 @@ def flat_omit_prefix(object_id: Column, delimiter: str) -> Column:
     """What follows the last delimiter, in whatever case that is written."""
     at = F.locate(delimiter.lower()[::-1], F.lower(F.reverse(object_id)))
     tail = F.when(at > 0, F.substr(object_id, F.length(object_id) - at + 2)).otherwise(object_id)
-    return F.when((tail != "") & (F.lower(tail) != "extensions"), tail)
+    return F.when((tail != "") & (tail != "extensions"), tail)
 
 
 def ntuple_omit_prefix(object_id: Column, delimiter: str, size: int = 3, count: int = 3, pad_left: bool = True, reverse: bool = False) -> Column:
@@ -55,3 +55,22 @@ def ntuple_omit_prefix(object_id: Column, delimiter: str, size: int = 3, count:
     zeros = F.repeat(F.lit("0"), F.greatest(F.lit(size * count) - F.length(turned), F.lit(0)))
     padded = F.concat(zeros, turned) if pad_left else F.concat(turned, zeros)
     return F.when(base != "", F.concat_ws("/", *_tuples(padded, size, count), base))
+
+
+#: Layouts by the name of their extension; register() adds more.
+LAYOUTS = {
+    "0002-flat-direct-storage-layout": flat,
+    "0003-hash-and-id-n-tuple-storage-layout": hashed_id,
+    "0004-hashed-n-tuple-storage-layout": hashed_ntuple,
+    "0006-flat-omit-prefix-storage-layout": flat_omit_prefix,
+    "0007-n-tuple-omit-prefix-storage-layout": ntuple_omit_prefix,
+}
+
+
+def register(name: str, layout) -> None:
+    LAYOUTS[name] = layout
+
+
+def mapped(object_id: Column, name: str, **config) -> Column:
+    """Object root of an id by a named layout; unknown names raise KeyError."""
+    return LAYOUTS[name](object_id, **config)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import versions
@@ -114,7 +114,10 @@ def value_issues(docs: DataFrame) -> DataFrame:
     wrong_head = last.select("object_id", F.when(F.col("head") != F.col("highest"), "E040").alias("code")).where("code is not null")
     absent = F.max("vnum") - F.countDistinct("vnum")  # counted, not listed: a version number may be of any size
     gaps = numbered.groupBy("object_id").agg(absent.alias("n")).where("n > 0").select("object_id", F.lit("E010").alias("code"), "n")
-    pads = integrity.mixed_padding(numbered).select("object_id", F.lit("E013").alias("code"))
+    # Paddings are compared from version to version as long as none is missing.
+    order = Window.partitionBy("object_id").orderBy("vnum")
+    run = numbered.withColumns({"nth": F.row_number().over(order), "first": F.first("vpad").over(order)}).where((F.col("nth") == F.col("vnum")) & (F.col("vpad") != F.col("first")))
+    pads = run.select("object_id", F.lit("E013").alias("code")).distinct()
     manifest = one.select("object_id", F.explode(F.map_keys("manifest")).alias("digest"))
     state = named.select("object_id", "version", F.explode(F.map_keys("v.state")).alias("digest"))
     unknown = state.join(manifest, ["object_id", "digest"], "left_anti").select("object_id", F.lit("E050").alias("code"))

@@ -9,10 +9,11 @@ from palimpsest.functions import paths
 
 
 def version_gaps(versions: DataFrame) -> DataFrame:
-    """(object_id, vnum) missing between 1 and the head."""
-    head = versions.groupBy("object_id").agg(F.max("vnum").alias("head"))
-    want = head.select("object_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("head").cast("long"))).alias("vnum"))
-    return want.join(versions.select("object_id", F.col("vnum").cast("long").alias("vnum")), ["object_id", "vnum"], "left_anti")
+    """(object_id, first, last): ranges of versions missing between 1 and the head; told by neighbours, so that a head of any size makes no rows."""
+    own = versions.select("object_id", F.col("vnum").cast("long").alias("vnum")).where("vnum > 0").distinct()
+    before = F.coalesce(F.lag("vnum").over(Window.partitionBy("object_id").orderBy("vnum")), F.lit(0))
+    ranges = own.select("object_id", (before + 1).alias("first"), (F.col("vnum") - 1).alias("last"))
+    return ranges.where(F.col("first") <= F.col("last"))
 
 
 def mixed_padding(versions: DataFrame) -> DataFrame:

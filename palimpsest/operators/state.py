@@ -54,3 +54,11 @@ def manifest(ops: DataFrame) -> DataFrame:
     first = F.min(F.struct("vnum", "path"))
     puts = ops.where(~F.col("removed")).groupBy("object_id", "digest").agg(first.alias("f"))
     return puts.select("object_id", "digest", F.col("f.vnum").alias("content_vnum"), F.concat_ws("/", F.concat(F.lit("v"), F.col("f.vnum").cast("string")), F.lit("content"), F.col("f.path")).alias("content_path"))
+
+
+def file_details(state: DataFrame, manifest: DataFrame, root: Column) -> DataFrame:
+    """(object_id, path, digest, storage_path, missing): where each file of a state lies; digests are matched in any case, one that the manifest lacks has no path."""
+    m = manifest.groupBy("object_id", F.lower("digest").alias("__digest")).agg(F.min("content_path").alias("content_path"))
+    joined = state.withColumn("__digest", F.lower("digest")).join(m, ["object_id", "__digest"], "left")
+    path = F.when(F.col("content_path").isNotNull(), F.concat_ws("/", root, "content_path"))
+    return joined.select("object_id", "path", "digest", path.alias("storage_path"), F.col("content_path").isNull().alias("missing"))

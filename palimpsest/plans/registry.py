@@ -113,11 +113,11 @@ def describe_version(spark, d):
     return o.select("object_id", "vnum", "created").join(n, ["object_id", "vnum"], "left").fillna(0, ["files"])
 
 
-@query(f"with {STATES}, {MANIFEST} select h.object_id, h.path, h.digest, 'objects/' || h.object_id || '/' || m.content_path storage_path from head_state h join manifest m using (object_id, digest)")
+@query(f"with {STATES}, {MANIFEST} select h.object_id, h.path, case when h.object_id % 3 = 0 then upper(h.digest) else h.digest end digest, case when m.digest is not null then 'objects/' || h.object_id || '/' || m.content_path end storage_path, m.digest is null missing from head_state h left join manifest m on m.object_id = h.object_id and m.digest = h.digest and not (h.object_id % 5 = 0 and m.content_vnum = 1)")
 def file_details(spark, d):
     o = ops(spark, d)
-    joined = state.state_as_of(o).join(state.manifest(o), ["object_id", "digest"])
-    return joined.select("object_id", "path", "digest", F.concat_ws("/", F.lit("objects"), F.col("object_id").cast("string"), "content_path").alias("storage_path"))
+    s = state.state_as_of(o).withColumn("digest", F.when(F.col("object_id") % 3 == 0, F.upper("digest")).otherwise(F.col("digest")))
+    return state.file_details(s, state.manifest(o).where("not (object_id % 5 = 0 and content_vnum = 1)"), F.concat(F.lit("objects/"), F.col("object_id").cast("string")))
 
 
 @query(f"with {OPS}, {MANIFEST} select object_id, digest, content_vnum, content_path from manifest")
@@ -168,9 +168,9 @@ def fixity_check(spark, d):
     return f.where(~digests.matches(F.col("actual"), F.col("expected")))
 
 
-@query(f"with {FILES} select object_id, path, substr(text, 11, 20) part from files where length(text) >= 30")
+@query(f"with {FILES} select object_id, path, lower(substr(hex(encode(text)), 21, 40)) part from files where octet_length(encode(text)) >= 30")
 def range_read(spark, d):
-    return files(spark, d).select("object_id", "path", F.col("content").cast("string").alias("t")).where(F.length("t") >= 30).select("object_id", "path", F.substring("t", 11, 20).alias("part"))
+    return files(spark, d).where(F.octet_length("content") >= 30).select("object_id", "path", F.lower(F.hex(F.substring("content", 11, 20))).alias("part"))
 
 
 # --- mutations
@@ -244,9 +244,11 @@ def names(spark, d) -> DataFrame:
     return table(spark, d, "customer").select(F.col("c_name").alias("id"))
 
 
-@query(f"select id, id root from {NAMES}")
+@query("select id, case when contains(id, '/') or id = 'extensions' then null else id end root from (select case c_custkey % 5 when 1 then 'extensions' when 2 then 'EXTENSIONS' when 3 then 'a/' || c_name when 4 then '' else c_name end id from customer)")
 def layout_flat(spark, d):
-    return names(spark, d).select("id", layouts.flat(F.col("id")).alias("root"))
+    k = F.col("c_custkey") % 5
+    given = F.when(k == 1, "extensions").when(k == 2, "EXTENSIONS").when(k == 3, F.concat(F.lit("a/"), "c_name")).when(k == 4, "").otherwise(F.col("c_name"))
+    return table(spark, d, "customer").select(given.alias("id"), layouts.mapped(given, "0002-flat-direct-storage-layout").alias("root"))
 
 
 @query(f"select id, h[1:3] || '/' || h[4:6] || '/' || h[7:9] || '/' || h root from (select id, sha256(id) h from {NAMES})")
@@ -269,9 +271,11 @@ def layout_hash_id(spark, d):
     return table(spark, d, "pages").select(F.col("url").alias("id"), layouts.hashed_id(F.col("url")).alias("root"))
 
 
-@query("select url id, case when split_part(url, '/', -1) in ('', 'extensions') then null else split_part(url, '/', -1) end root from pages")
+@query("select url id, case when split_part(url, '/', -1) in ('', 'extensions') then null else split_part(url, '/', -1) end root from (select case page_id % 5 when 1 then url || '/extensions' when 2 then url || '/Extensions' when 3 then 'extensions' when 4 then url || '/' else url end url from pages)")
 def layout_flat_omit_prefix(spark, d):
-    return table(spark, d, "pages").select(F.col("url").alias("id"), layouts.flat_omit_prefix(F.col("url"), "/").alias("root"))
+    k = F.col("page_id") % 5
+    url = F.when(k == 1, F.concat("url", F.lit("/extensions"))).when(k == 2, F.concat("url", F.lit("/Extensions"))).when(k == 3, "extensions").when(k == 4, F.concat("url", F.lit("/"))).otherwise(F.col("url"))
+    return table(spark, d, "pages").select(url.alias("id"), layouts.flat_omit_prefix(url, "/").alias("root"))
 
 
 @query(f"select id, p[1:4] || '/' || p[5:8] || '/' || b root from (select id, split_part(id, '#', -1) b, lpad(split_part(id, '#', -1), greatest(8, length(split_part(id, '#', -1)))::int, '0') p from {NAMES})")
@@ -331,9 +335,9 @@ def path_conflict(spark, d):
 # --- integrity
 
 
-@query("with v as (select distinct o_custkey object_id, (o_orderkey % 9) + 1 vnum from orders) select object_id, vnum from (select object_id, unnest(range(1, max(vnum) + 1)) vnum from v group by object_id) except select object_id, vnum from v")
+@query("with v as (select distinct o_custkey object_id, (o_orderkey % 9) * 1000000000 + 1 vnum from orders), r as (select object_id, vnum, coalesce(lag(vnum) over (partition by object_id order by vnum), 0) p from v) select object_id, p + 1 as first, vnum - 1 as last from r where p + 1 < vnum")
 def version_gaps(spark, d):
-    return integrity.version_gaps(table(spark, d, "orders").select(F.col("o_custkey").alias("object_id"), (F.col("o_orderkey") % 9 + 1).alias("vnum")).distinct())
+    return integrity.version_gaps(table(spark, d, "orders").select(F.col("o_custkey").alias("object_id"), (F.col("o_orderkey") % 9 * 1_000_000_000 + 1).alias("vnum")))
 
 
 @query("select o_custkey object_id, count(distinct case when o_orderkey % 4 = 0 then 3 else 0 end) paddings from orders group by 1 having paddings > 1")
