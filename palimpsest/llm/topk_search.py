@@ -2,8 +2,12 @@
 
 With a vector cut into segments of length l, means m and deviations s, the squared distance of two vectors is at
 least the sum over segments of l((m - m')^2 + (s - s')^2). Their inner product is (|x|^2 + |y|^2 - distance) / 2, so
-that lower bound on the distance is an upper bound on the score. Levels go from few segments to many; a candidate
-whose bound falls below the query's 20th best score so far is left out, the exact score is computed for the rest.
+that lower bound on the distance is an upper bound on the score. Levels go from few segments to many, the last with one
+or two values a segment. Each query has a floor, the k-th best score it has met so far: at first among SEED vectors of
+its partition, then carried from block to block of a task. A candidate whose bound at a level is below the floor is
+left out; a level that leaves out less than LEAST_CUT of a block's candidates is passed over in the task's next blocks,
+as it costs more than it saves. What is left at the finest level is scored exactly in the order of its bounds, in
+steps of STEP: after each the floor rises, and the query is done once its next bound is below it.
 
 The vectors are read in blocks of the partitions that hold them. The queries lie in a written table of the shared
 folder, in parts of QUERY_BLOCK rows at most, and each task reads them part by part: nothing is broadcast, and a task
@@ -26,7 +30,9 @@ from pyspark.sql import functions as F
 
 from palimpsest.runtime import arrow_rows, scratch_path, ship, table
 
-LEVELS, QUERY_BLOCK, VECTOR_BLOCK = (4, 8, 16, 32), 512, 8192
+LEVELS, QUERY_BLOCK, VECTOR_BLOCK = (4, 8, 16, 32, 48), 512, 8192
+#: Vectors of a block that give first floors; candidates scored at once; share of a block that a level must leave out to be kept.
+SEED, STEP, LEAST_CUT = 256, 64, 0.1
 
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -45,35 +51,62 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (q @ x.T).astype(np.int64)
 
 
-def best_of(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, levels: tuple[int, ...], cut: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query its k best rows of this block that reach `cut`, as (vec_id, score)."""
-    if not x.shape[1]:
-        bounds = np.zeros((len(q), len(x)))
-        steps = []
-    else:
-        steps = [(statistics(q, s), statistics(x, s)) for s in levels if s < x.shape[1]] or [(q, x)]
-        bounds = steps[0][0] @ steps[0][1].T
-    slack = 1e-6 * (1 + np.abs(bounds).max(initial=0))
+class Floors:
+    """A task's floors by query, the levels still in use by vector length, and how many pairs were bounded and scored."""
+
+    def __init__(self, levels: tuple[int, ...], k: int) -> None:
+        self.levels, self.k, self.floor, self.used = levels, k, {}, {}
+        self.pairs = self.scored = 0
+
+    def steps(self, n: int) -> list[int]:
+        return self.used.setdefault(n, [s for s in self.levels if s < n] or [n])
+
+
+def best_of(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, floors: Floors) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the rows of this block that may be among its k best of all, at most k, as (vec_id, score)."""
+    n, k = x.shape[1], floors.k
+    if not n:
+        scores = np.zeros((len(q), len(x)), np.int64)
+        return [_top(x_ids[(m := x_ids != i)], s[m], k) for i, s in zip(q_ids, scores, strict=True)]
+    floor = np.array([floors.floor.get((n, int(i)), -np.inf) for i in q_ids])
+    seeds = x[:SEED]
+    if len(seeds) > k and np.isneginf(floor).any():
+        s = exact(q, seeds).astype(np.float64)
+        s[q_ids[:, None] == x_ids[None, :SEED]] = -np.inf
+        floor = np.maximum(floor, np.partition(s, -k, axis=1)[:, -k])
+    steps = floors.steps(n)
+    alive, bounds, at = np.ones((len(q), len(x)), bool), None, 0
+    alive[q_ids[:, None] == x_ids[None, :]] = False
+    slack = 1e-6 * (1 + float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * n)
+    for s in list(steps):
+        before = alive.sum()
+        bounds = (q @ x.T) if s >= n else statistics(q, s) @ statistics(x, s).T
+        bounds += slack
+        alive &= bounds >= floor[:, None]
+        if s != steps[-1] and alive.sum() > (1 - LEAST_CUT) * before:
+            floors.used[n] = [t for t in floors.used[n] if t != s]
     out = []
     for i in range(len(q)):
-        alive = np.flatnonzero(x_ids != q_ids[i])
-        bound = bounds[i, alive]
-        if len(alive) > k:  # the exact scores of the most promising rows give a first floor
-            near = alive[np.argpartition(-bound, k - 1)[:k]]
-            floor = max(cut[i], exact(q[i : i + 1], x[near])[0].min())
-        else:
-            floor = cut[i]
-        alive = alive[bound >= floor - slack]
-        for a, b in steps[1:]:
-            if len(alive) <= k:
-                break
-            alive = alive[b[alive] @ a[i] >= floor - slack]
-        score = exact(q[i : i + 1], x[alive])[0]
-        order = np.lexsort((x_ids[alive], -score))[:k]
-        out.append((x_ids[alive][order], score[order]))
+        left = np.flatnonzero(alive[i])
+        left = left[np.argsort(-bounds[i, left], kind="stable")]
+        ids, scores, at = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        while at < len(left) and bounds[i, left[at]] >= floor[i]:
+            now = left[at : at + STEP]
+            ids, scores = _top(np.concatenate([ids, x_ids[now]]), np.concatenate([scores, exact(q[i : i + 1], x[now])[0]]), k)
+            at += len(now)
+            if len(scores) == k:
+                floor[i] = max(floor[i], scores[-1])
+        floors.pairs, floors.scored = floors.pairs + len(x), floors.scored + at
+        floors.floor[n, int(q_ids[i])] = floor[i]
+        out.append((ids, scores))
     return out
 
 
+def _top(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((ids, -scores))[:k]
+    return ids[order], scores[order]
+
+
 def quantised(column) -> np.ndarray | None:
     """floor(64 x) of a list of rows of one length."""
     return np.floor(64.0 * np.asarray(column, dtype=np.float64))
@@ -98,7 +131,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
         store, place = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
         parts = ds.dataset(place, filesystem=store, format="parquet", exclude_invalid_files=False).files
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        count = 0
+        count, floors = 0, Floors(levels, k)  # eight bytes a query and a key
 
         def through() -> Iterator[pa.RecordBatch]:
             for part in parts:
@@ -114,7 +147,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
                         continue
                     x_ids, x = np.concatenate([i for i, _ in x_parts]), np.concatenate([x for _, x in x_parts])
                     q = quantised([flat[i] for i in of]).reshape(len(of), int(n))
-                    got += [(q_ids[i], *b) for i, b in zip(of, best_of(q, q_ids[of], x, x_ids, k, levels, np.full(len(of), -np.inf)), strict=True)]
+                    got += [(q_ids[i], *b) for i, b in zip(of, best_of(q, q_ids[of], x, x_ids, floors), strict=True)]
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat([g[0] for g in got], [len(g[1]) for g in got])), pa.array(np.concatenate([g[1] for g in got])), pa.array(np.concatenate([g[2] for g in got]))], names=["query_id", "vec_id", "score"])
 
