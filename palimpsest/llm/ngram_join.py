@@ -408,46 +408,41 @@ class Join:
     def across(self, found: DataFrame, told: DataFrame, comps: DataFrame) -> DataFrame:
         """comps with the links between components of one long list; `told` are pairs that need not be verified again."""
         open_ = saved(self.spark, outside(found.select("a", "b"), comps), "open")
-        stars, rests = self.shifted(found, open_)
+        stars, often = self.shifted(found, open_)
         open_ = stars.join(open_, ["a", "b"], "left_semi")
         asked = saved(self.spark, self.inside(stars, open_), "inside")
-        more = None
+        pairs = met(open_.withColumn("asked", F.greatest("asked", F.lit(1))), found, often, comps)
         if not asked.isEmpty():
             found = self.overlaps(self.sized(stars, asked), "true")
             comps = components(linking(found), comps)
             probes = owned(owned(found, comps, "a"), comps, "b").where("a_comp != b_comp")
             needed = F.expr(f"ceil({PERCENT} * (a_n + b_n) / {100 + PERCENT})") - F.col("common")
             probes = saved(self.spark, probes.select("a", "b", F.size("rest").alias("size"), needed.alias("asked")), "probes")
-            more = met(probes, self.leftovers(found, probes).join(found.select("a", "b", "a_n", "b_n"), ["a", "b"]), comps, F.col("p.a_n") == F.least("p.b_n", "q.b_n"))
-        pairs = met(open_.withColumn("asked", F.greatest("asked", F.lit(1))), rests, comps)
-        more = saved(self.spark, (pairs if more is None else pairs.union(more)).distinct().join(told, ["a", "b"], "left_anti"), "open-pairs")
+            often = self.often(found.join(probes.select("a").distinct(), "a", "left_semi"))
+            pairs = pairs.union(met(probes, found, often, comps, F.col("p.a_n") == F.least("p.b_n", "q.b_n")))
+        more = saved(self.spark, apart(pairs.distinct(), comps).join(told, ["a", "b"], "left_anti"), "open-pairs")
         if not more.isEmpty():
             comps = components(linking(self.overlaps(more)), comps)
         return comps
 
-    def leftovers(self, stars: DataFrame, open_: DataFrame) -> DataFrame:
-        """(a, b, s, often): the shingles outside the centre that an open member has and two members of its star at least. By others no open member can be joined."""
-        each = stars.join(open_.select("a").distinct(), "a", "left_semi").select("a", "b", F.explode("rest").alias("s"))
-        asked = stars.join(open_.select("a", "b"), ["a", "b"], "left_semi").select("a", F.explode("rest").alias("s")).groupBy("a", "s").agg(F.count("*").alias("c"))
-        each = each.join(asked.select("a", "s"), ["a", "s"], "left_semi")
-        return each.join(each.groupBy("a", "s").agg(F.count("*").alias("often")).where("often > 1"), ["a", "s"])
+    def often(self, stars: DataFrame) -> DataFrame:
+        """(a, s, often): the shingles outside a centre that two members of its star at least have. By others no two can be joined."""
+        return saved(self.spark, outer(stars).groupBy("a", "s").agg(F.count("*").alias("often")).where("often > 1"), "often")
 
     def shifted(self, stars: DataFrame, open_: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Stars (a, b, b_n, size, within, asked) with open members, whose centre is taken with the leftovers that more than RARE members have, and their other leftovers.
+        """Stars (a, b, b_n, size, within, asked) with open members, whose centre is taken with what more than RARE members have outside it; and (a, s, often) of the rest.
 
         `within` is what a member has in the centre so taken, `size` what it has outside, `asked` what it needs of any partner beyond the centre.
         """
         stars = stars.join(open_.select("a").distinct(), "a", "left_semi")
-        left = saved(self.spark, self.leftovers(stars, open_), "leftovers")
-        gained = left.where(F.col("often") > RARE).groupBy("a", "b").agg(F.count("*").alias("gained"))
+        often = self.often(stars)
+        gained = outer(stars).join(often.where(F.col("often") > RARE).select("a", "s"), ["a", "s"]).groupBy("a", "b").agg(F.count("*").alias("gained"))
         least = stars.groupBy("a").agg(F.least(F.min("b_n"), F.min("a_n")).alias("smallest"))
         grown = stars.select("a", "b", "b_n", "common", F.size("rest").alias("all")).join(gained, ["a", "b"], "left").join(least, "a").fillna(0, ["gained"])
         within = F.col("common") + F.col("gained")
         asked = F.expr(f"greatest(ceil({PERCENT} * b_n / 100), ceil({PERCENT} * (b_n + smallest) / {100 + PERCENT}))") - within
-        out = saved(self.spark, grown.select("a", "b", "b_n", (F.col("all") - F.col("gained")).alias("size"), within.alias("within"), asked.alias("asked")), "stars")
-        rests = saved(self.spark, left.where(F.col("often") <= RARE).join(out.select("a", "b", "b_n"), ["a", "b"]), "rests")
-        dropped(left)
-        return out, rests
+        out = grown.select("a", "b", "b_n", (F.col("all") - F.col("gained")).alias("size"), within.alias("within"), asked.alias("asked"))
+        return saved(self.spark, out, "stars"), often.where(F.col("often") <= RARE)
 
     def inside(self, stars: DataFrame, open_: DataFrame) -> DataFrame:
         """(a, s): stars that may have a linked pair, one of it in open_, whose members share enough within the centre alone, and the size of its smaller one."""
@@ -489,15 +484,24 @@ def outside(stars: DataFrame, comps: DataFrame) -> DataFrame:
     return own.join(sizes.groupBy("a").agg(F.max_by("b_comp", F.struct("c", "b_comp")).alias("main")), "a").where("b_comp != main").drop("main", "b_comp")
 
 
-def met(probes: DataFrame, rests: DataFrame, comps: DataFrame, only=None) -> DataFrame:
-    """Pairs (a, b) of a probe and a member of the same star in another component that share one of the probe's size - asked + 1 rarest leftovers."""
-    stored = owned(rests, comps, "b")
-    # Leftovers that no other member has can't meet one, but count in the number to take: they are the rarest.
-    probes = probes.withColumn("take", F.col("size") - F.col("asked") + 1).where("take > 0")
-    listed = stored.join(probes.select("a", "b", "take", "size"), ["a", "b"])
+def outer(stars: DataFrame) -> DataFrame:
+    """A row for each shingle of a member outside its star's centre."""
+    return stars.select(*(c for c in ("a", "b", "a_n", "b_n") if c in stars.columns), F.explode("rest").alias("s"))
+
+
+def met(probes: DataFrame, stars: DataFrame, often: DataFrame, comps: DataFrame, only=None) -> DataFrame:
+    """Pairs (a, b) of a probe and a member of the same star in another component that share one of the probe's size - asked + 1 rarest shingles outside the centre.
+
+    stars holds what all members have outside, often how many have a shingle; one that is not in often can't be shared, or is counted in with the centre.
+    """
+    probes = probes.withColumn("take", F.col("size") - F.col("asked") + 1).where("take > 0").select("a", "b", "take", "size")
+    listed = outer(stars.join(probes.select("a", "b"), ["a", "b"], "left_semi")).join(often, ["a", "s"]).join(probes, ["a", "b"])
+    # Shingles that no other member has can't meet one, but count in the number to take: they are the rarest.
     order = Window.partitionBy("a", "b").orderBy("often", "s")
     listed = listed.withColumns({"rank": F.row_number().over(order), "shared": F.count("*").over(Window.partitionBy("a", "b"))})
-    listed = listed.where(F.col("size") - F.col("shared") + F.col("rank") <= F.col("take"))
+    listed = owned(listed.where(F.col("size") - F.col("shared") + F.col("rank") <= F.col("take")), comps, "b")
+    taken = listed.select("a", "s").distinct()
+    stored = owned(outer(stars.join(probes.select("a").distinct(), "a", "left_semi")).join(taken, ["a", "s"], "left_semi"), comps, "b")
     p, q = listed.alias("p"), stored.alias("q")
     near = (F.col("p.b_comp") != F.col("q.b_comp")) & _can_link("p.b_n", "q.b_n")
     meet = p.join(q, (F.col("p.a") == F.col("q.a")) & (F.col("p.s") == F.col("q.s")) & (near if only is None else near & only))
