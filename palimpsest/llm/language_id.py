@@ -28,6 +28,8 @@ from palimpsest.runtime import saved, table
 
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLE, TRAIN_WORDS, ROUNDS = 3000, 20_000, 3
+#: Languages up to which their counts are broadcast.
+MOST_LANGUAGES = 10_000
 #: Weight of the even distribution in each language's, chance of a character that no piece has, longest piece in characters.
 SMOOTH, UNKNOWN, LONGEST_PIECE = 1e-3, 1e-7, 8
 ENTRIES, LONG_WORD = 300_000, 48
@@ -173,7 +175,9 @@ def held_out(doc_id):
 def fit(docs: DataFrame, raw: bytes) -> tuple[list[str], np.ndarray, dict[str, int]]:
     """Learns from docs (doc_id, text, lang). The driver gets at most TRAIN_WORDS words a language."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    total = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    # A row a language, saved so that its size is known; sent to all tasks while it is small, else the engine's choice.
+    total = saved(docs.sparkSession, rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    total = F.broadcast(total) if total.limit(MOST_LANGUAGES + 1).count() <= MOST_LANGUAGES else total
     share = F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("n"))
     u = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     chosen = rows.join(total, "lang").where(F.coalesce(u, F.lit(0.0)) < share)
