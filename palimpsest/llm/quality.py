@@ -45,6 +45,8 @@ BANDS = {
 MIN_TOKENS = 200
 #: Half width of a language's band in scaled median deviations, and the documents that one needs.
 BAND, LEAST_DOCS = 5.0, 50
+#: Bands up to which they are broadcast.
+MOST_KEYS = 10_000
 #: Least scaled deviations of entropy in bits and of byte share times sqrt(tokens), where nearly all documents are alike; the
 #: latter is the spread of one byte piece in 64, in runs of four.
 LEAST_BITS, LEAST_BYTES = 0.02, 0.25
@@ -173,6 +175,11 @@ def measured(df: DataFrame, text: str = "text", path: str | None = None, bands:
     return appended(df, [text], fields, make)
 
 
+def small(bands: DataFrame) -> DataFrame:
+    """A table of a row for each language or script, sent to all tasks where it has MOST_KEYS rows at most; else the engine chooses."""
+    return F.broadcast(bands) if bands.limit(MOST_KEYS + 1).count() <= MOST_KEYS else bands
+
+
 def quality(df: DataFrame, path: str | None = None) -> DataFrame:
     """One row for each of df (doc_id, text, lang): the base counts, the figures and the verdict by both bands."""
     rows = saved(df.sparkSession, measured(df.select("doc_id", "text", "lang"), path=path).drop("text"), "quality")
@@ -189,19 +196,18 @@ def quality(df: DataFrame, path: str | None = None) -> DataFrame:
     every = middle.where("key = 'all'").select(F.col("slope").alias("all_slope"))
     middle = middle.crossJoin(every).withColumn("slope", F.when(F.col("n") >= LEAST_DOCS, F.col("slope")).otherwise(F.col("all_slope"))).drop("all_slope")
     off, over, rest = (F.col("chars_per_token") - F.col("middle")) * root, (F.col("byte_share") - F.col("share")) * root, F.col("token_entropy") - F.col("slope") / root
-    width = usual.join(middle, "key").groupBy("key").agg(wide(off).alias("most"), wide(over).alias("most_over"), median(rest).alias("bits"))
+    width = usual.join(small(middle), "key").groupBy("key").agg(wide(off).alias("most"), wide(over).alias("most_over"), median(rest).alias("bits"))
     bands = saved(df.sparkSession, middle.join(width, "key"), "quality-middle")
     bent = F.abs(rest - F.col("bits"))
-    bands = bands.join(usual.join(bands, "key").groupBy("key").agg(wide(bent).alias("most_bent")), "key")
+    bands = bands.join(usual.join(small(bands), "key").groupBy("key").agg(wide(bent).alias("most_bent")), "key")
     bands = saved(df.sparkSession, bands, "quality-width")
     widths = ("most", "most_over", "most_bent")
     every = bands.where("key = 'all'").select(*(F.col(c).alias(f"all_{c}") for c in widths))
     bands = bands.crossJoin(every).withColumns({c: F.when(F.col("n") >= LEAST_DOCS, F.col(c)).otherwise(F.greatest(c, f"all_{c}")) for c in widths})
     inside = (F.abs(off) <= BAND * F.col("most")) & (over <= BAND * F.greatest("most_over", F.lit(LEAST_BYTES))) & (bent <= BAND * F.greatest("most_bent", F.lit(LEAST_BITS)))
     known = bands.where(F.col("key").startswith("lang ")).select("key", F.lit(True).alias("known"))
-    rows_key = rows.withColumn("key", keys[0]).join(known, "key", "left").withColumn("key", F.when(F.col("known") & F.col("lang").isNotNull(), F.col("key")).otherwise(keys[1]))
-    # A row for each language or script that occurs, so it may be broadcast; which way is taken is left to its size.
-    return rows_key.join(bands, "key", "left").withColumn("kept", F.col("kept") & F.coalesce(inside, F.lit(True))).select([c for c in rows.columns if c not in ("lang", "n_pieces")])
+    rows_key = rows.withColumn("key", keys[0]).join(small(known), "key", "left").withColumn("key", F.when(F.col("known") & F.col("lang").isNotNull(), F.col("key")).otherwise(keys[1]))
+    return rows_key.join(small(bands), "key", "left").withColumn("kept", F.col("kept") & F.coalesce(inside, F.lit(True))).select([c for c in rows.columns if c not in ("lang", "n_pieces")])
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
