@@ -1,12 +1,15 @@
 """Main text of HTML pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. Pass one classifies each block by itself: a block inside an element
-that never holds the article (navigation, footers, forms, adverts, notices, comments and the like, told by tag, role,
-class or id), with many links, or long without stop words is bad; a long block with many stop words is good; others
-are short or near-good. Pass two: a short or near-good block takes the label of its nearest decided neighbours, good
-where they differ and it is near-good or the good one is closer; headings go with the block that follows. Elements
-that never hold the article say nothing about their neighbours; a near-good block without a neighbour is good.
-Inside an <article> or <main> element the neighbours are good by default, so nothing of the article is lost.
+A page is cut into blocks at block-level tags. Pass one classifies each block by itself, by its length, the share of
+its characters in links and the share of stop words among its words: long with many stop words is good; linked for the
+most part, or long without stop words, is bad; the others are short or near-good and so undecided. In an <article> or
+<main> element linked blocks and long ones without stop words (headings, lists, tables, code) are undecided too. What
+tags, roles, classes or ids mark as navigation, footer, form, advert, notice, reader comments and the like is bad as
+well, and says nothing about its neighbours; inside an article only the marks that no part of an article bears count.
+
+Pass two: an undecided block takes the label of its nearest decided neighbours before and after, at any distance. Those
+of an article look at decided blocks of articles first, and are good where there is none. Where both sides differ, a
+near-good block is good and a short one goes with the closer; headings go with the block that follows.
 
 Results for odd input: null html counts as empty; a page without main text gives the empty string; repeated rows give
 equal rows; an empty table gives an empty one; a column that has the name of a new one is replaced. Unclosed tags end
@@ -24,7 +27,7 @@ from pyspark.sql import types as T
 from palimpsest.llm.common import appended, field
 from palimpsest.runtime import table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|([^\s=\"'/>]+)")
 
 #: Elements whose content is not text, by their own end tags only.
@@ -43,6 +46,12 @@ WORDS = frozenset(
     "signup skip social sponsor sponsored subscribe subscription tags teaser toc toolbar topbar trackback tracking warning widget widgets".split()
 )
 OF_ARTICLES = frozenset("ad advert comment comments promo related reply teaser widget".split())
+#: Parts that count for elements inside an article.
+INSIDE = frozenset(
+    "ad ads adv advert adverts advertisement advertising adslot breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus discussion gdpr hidden login menu modal nav navbar "
+    "navigation newsletter notice overlay pager pagination paywall popup promo promoted promotion recommend recommended related reply replies respond responses search share sharing sidebar sidenav "
+    "signup social sponsor sponsored subscribe subscription toolbar trackback tracking widget widgets".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: Common function words of English, French, German and Spanish.
@@ -56,8 +65,8 @@ STOP_WORDS = frozenset(
 LETTERS = re.compile(r"[^\W\d_]+")
 COPYRIGHT = re.compile(r"©|\(c\) |copyright\b", re.I)
 
-#: Characters of a short and of a long block, link share above which a block is bad, stop-word shares of good and near-good blocks.
-SHORT, LONG, LINKS, GOOD_STOPS, NEAR_STOPS = 70, 200, 0.33, 0.30, 0.20
+#: Characters of a short and of a long block, link share above which a block is bad, stop-word share of good and near-good blocks.
+SHORT, LONG, LINKS, NEAR_STOPS = 70, 200, 0.33, 0.20
 
 
 class Block:
@@ -70,7 +79,7 @@ class Block:
 def names_never(tag: str, attributes: str, inside: int) -> bool:
     if tag in NEVER and not (tag == "header" and inside):
         return True
-    words = OF_ARTICLES if tag in ("article", "main") else WORDS
+    words = OF_ARTICLES if tag in ("article", "main") else INSIDE if inside else WORDS
     if not attributes or "=" not in attributes and "hidden" not in attributes:
         return False
     for name, value, bare in ATTRIBUTE.findall(attributes):
@@ -176,12 +185,12 @@ def classify(blocks: list[tuple[Block, str]]) -> None:
         density = b.linked / max(1, len(t))
         words = LETTERS.findall(t.lower())
         stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if len(t) < SHORT and COPYRIGHT.match(t) or b.never or density > LINKS and not (b.inside and len(t) > LONG):
+        if b.never or len(t) < SHORT and COPYRIGHT.match(t) and not b.inside:
             b.label = "bad"
+        elif density > LINKS:
+            b.label = "short" if b.inside else "bad"
         elif len(t) < SHORT:
             b.label = "short"
-        elif stops >= GOOD_STOPS and len(t) >= LONG:
-            b.label = "good"
         elif stops >= NEAR_STOPS:
             b.label = "good" if len(t) >= LONG else "near"
         elif len(t) >= LONG and not b.inside:
@@ -190,8 +199,8 @@ def classify(blocks: list[tuple[Block, str]]) -> None:
             b.label = "short"
 
 
-def neighbours(blocks: list[tuple[Block, str]]) -> list[tuple[tuple[int, str], tuple[int, str]]]:
-    """Distance and label of the nearest decided blocks before and after each; '' if there is none."""
+def neighbours(blocks: list[tuple[Block, str]], inside: bool) -> list[tuple[tuple[int, str], tuple[int, str]]]:
+    """Distance and label of the nearest decided blocks before and after each, with `inside` of those in articles; '' if there is none."""
     n = len(blocks)
     sides = []
     for order in (range(n), range(n - 1, -1, -1)):
@@ -199,7 +208,7 @@ def neighbours(blocks: list[tuple[Block, str]]) -> list[tuple[tuple[int, str], t
         for i in order:
             side[i] = (abs(i - at), label)
             b = blocks[i][0]
-            if b.label in ("good", "bad") and not b.never:
+            if b.label in ("good", "bad") and not b.never and (b.inside or not inside):
                 at, label = i, b.label
         sides.append(side)
     return list(zip(*sides, strict=True))
@@ -207,17 +216,17 @@ def neighbours(blocks: list[tuple[Block, str]]) -> list[tuple[tuple[int, str], t
 
 def settle(blocks: list[tuple[Block, str]]) -> None:
     """Pass two: first the near-good blocks, then the short ones. What one of these steps decides is no neighbour in it."""
-    for b, _ in blocks:
-        if b.inside and b.label in ("near", "short"):
-            b.label = "good"
     for ambiguous in ("near", "short"):
-        for (b, _), ((i, before), (j, after)) in zip(blocks, neighbours(blocks), strict=True):
+        for (b, _), every, own in list(zip(blocks, neighbours(blocks, False), neighbours(blocks, True), strict=True)):
             if b.label != ambiguous:
                 continue
-            if ambiguous == "near":
+            (i, before), (j, after) = own if b.inside else every
+            if b.inside and not before and not after:
+                b.label = "good"
+            elif ambiguous == "near":
                 b.label = "bad" if before == after == "bad" else "good"
             elif b.heading:
-                b.label = after or "bad"
+                b.label = after or (before if b.inside else "bad")
             elif before == after or not before or not after:
                 b.label = before or after or "bad"
             else:
