@@ -304,6 +304,21 @@ def _sets(filter_bits):
     return run
 
 
+def _trim(filter_bits):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = filter_bits.value
+        for b in batches:
+            rest = b.column(4)
+            lens, flat = rest.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), rest.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(lens)), lens)
+            bit = (np.repeat(b.column(0).to_numpy(zero_copy_only=False), lens) ^ flat) & ((1 << FILTER_BITS) - 1)
+            kept = words[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1) > 0
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row[kept], minlength=len(lens)))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[kept], pa.int64()))], names=["a", "b", "a_n", "b_n", "rest"])
+
+    return run
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete saved tables whose successors are written."""
     for df in tables:
@@ -379,14 +394,25 @@ class Join:
         banded = asked.join(of_band, ["key", "band"]).select("a", "b", F.lit(0).alias("kind"))
         return whole.union(banded).where("a != b")
 
-    def sets_of(self, ends: DataFrame) -> DataFrame:
-        """(cls, shingles) of the classes c of ends, and of some others; the texts are read again."""
+    def filter_of(self, values: DataFrame):
+        """A broadcast bit filter (1 MB) of the column c."""
         bit = F.col("c").bitwiseAND((1 << FILTER_BITS) - 1)
-        words = ends.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, int((c & {(1 << FILTER_BITS) - 1}) & 63))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
+        words = values.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, int((c & {(1 << FILTER_BITS) - 1}) & 63))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
         filled = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
         filled[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64).view(np.uint64)
+        return self.spark.sparkContext.broadcast(filled)
+
+    def sets_of(self, ends: DataFrame) -> DataFrame:
+        """(cls, shingles) of the classes c of ends, and of some others; the texts are read again."""
+        given = self.filter_of(ends)
         arrow_rows(self.spark, 4096)
-        return saved(self.spark, self.texts.mapInArrow(_sets(self.spark.sparkContext.broadcast(filled)), "cls long, shingles array<long>"), "sets")
+        return saved(self.spark, self.texts.mapInArrow(_sets(given), "cls long, shingles array<long>"), "sets")
+
+    def trimmed(self, stars: DataFrame, often: DataFrame) -> DataFrame:
+        """stars whose `rest` keeps what stands in often (a, s), and some others."""
+        given = self.filter_of(often.select(F.col("a").bitwiseXOR(F.col("s")).alias("c")))
+        arrow_rows(self.spark, 256)
+        return saved(self.spark, stars.select("a", "b", "a_n", "b_n", "rest").mapInArrow(_trim(given), "a long, b long, a_n int, b_n int, rest array<long>"), "trimmed")
 
     def run(self) -> DataFrame:
         """(cls, comp) of the classes that are linked to another."""
@@ -411,15 +437,16 @@ class Join:
         stars, often = self.shifted(found, open_)
         open_ = stars.join(open_, ["a", "b"], "left_semi")
         asked = saved(self.spark, self.inside(stars, open_), "inside")
-        pairs = met(open_.withColumn("asked", F.greatest("asked", F.lit(1))), found, often, comps)
+        pairs = met(open_.withColumn("asked", F.greatest("asked", F.lit(1))), self.trimmed(found.join(open_.select("a").distinct(), "a", "left_semi"), often), often, comps)
         if not asked.isEmpty():
             found = self.overlaps(self.sized(stars, asked), "true")
             comps = components(linking(found), comps)
             probes = owned(owned(found, comps, "a"), comps, "b").where("a_comp != b_comp")
             needed = F.expr(f"ceil({PERCENT} * (a_n + b_n) / {100 + PERCENT})") - F.col("common")
             probes = saved(self.spark, probes.select("a", "b", F.size("rest").alias("size"), needed.alias("asked")), "probes")
-            often = self.often(found.join(probes.select("a").distinct(), "a", "left_semi"))
-            pairs = pairs.union(met(probes, found, often, comps, F.col("p.a_n") == F.least("p.b_n", "q.b_n")))
+            found = found.join(probes.select("a").distinct(), "a", "left_semi")
+            often = self.often(found)
+            pairs = pairs.union(met(probes, self.trimmed(found, often), often, comps, F.col("p.a_n") == F.least("p.b_n", "q.b_n")))
         more = saved(self.spark, apart(pairs.distinct(), comps).join(told, ["a", "b"], "left_anti"), "open-pairs")
         if not more.isEmpty():
             comps = components(linking(self.overlaps(more)), comps)
