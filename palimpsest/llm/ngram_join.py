@@ -408,9 +408,9 @@ class Join:
         arrow_rows(self.spark, 4096)
         return saved(self.spark, self.texts.mapInArrow(_sets(given), "cls long, shingles array<long>"), "sets")
 
-    def trimmed(self, stars: DataFrame, often: DataFrame) -> DataFrame:
-        """stars whose `rest` keeps what stands in often (a, s), and some others."""
-        given = self.filter_of(often.select(F.col("a").bitwiseXOR(F.col("s")).alias("c")))
+    def trimmed(self, stars: DataFrame, asked: DataFrame) -> DataFrame:
+        """stars whose `rest` keeps what stands in asked (a, s), and some others, the same ones for all members of a star."""
+        given = self.filter_of(asked.select(F.col("a").bitwiseXOR(F.col("s")).alias("c")))
         arrow_rows(self.spark, 256)
         return saved(self.spark, stars.select("a", "b", "a_n", "b_n", "rest").mapInArrow(_trim(given), "a long, b long, a_n int, b_n int, rest array<long>"), "trimmed")
 
@@ -434,10 +434,12 @@ class Join:
     def across(self, found: DataFrame, told: DataFrame, comps: DataFrame) -> DataFrame:
         """comps with the links between components of one long list; `told` are pairs that need not be verified again."""
         open_ = saved(self.spark, outside(found.select("a", "b"), comps), "open")
-        stars, often = self.shifted(found, open_)
+        found = found.join(open_.select("a").distinct(), "a", "left_semi")
+        lean = self.trimmed(found, outer(found.join(open_, ["a", "b"], "left_semi")))
+        stars, often = self.shifted(found, lean)
         open_ = stars.join(open_, ["a", "b"], "left_semi")
         asked = saved(self.spark, self.inside(stars, open_), "inside")
-        pairs = met(open_.withColumn("asked", F.greatest("asked", F.lit(1))), self.trimmed(found.join(open_.select("a").distinct(), "a", "left_semi"), often), often, comps)
+        pairs = met(open_.withColumn("asked", F.greatest("asked", F.lit(1))), self.trimmed(lean, often), often, comps)
         if not asked.isEmpty():
             found = self.overlaps(self.sized(stars, asked), "true")
             comps = components(linking(found), comps)
@@ -445,8 +447,9 @@ class Join:
             needed = F.expr(f"ceil({PERCENT} * (a_n + b_n) / {100 + PERCENT})") - F.col("common")
             probes = saved(self.spark, probes.select("a", "b", F.size("rest").alias("size"), needed.alias("asked")), "probes")
             found = found.join(probes.select("a").distinct(), "a", "left_semi")
-            often = self.often(found)
-            pairs = pairs.union(met(probes, self.trimmed(found, often), often, comps, F.col("p.a_n") == F.least("p.b_n", "q.b_n")))
+            lean = self.trimmed(found, outer(found.join(probes, ["a", "b"], "left_semi")))
+            often = self.often(lean)
+            pairs = pairs.union(met(probes, self.trimmed(lean, often), often, comps, F.col("p.a_n") == F.least("p.b_n", "q.b_n")))
         more = saved(self.spark, apart(pairs.distinct(), comps).join(told, ["a", "b"], "left_anti"), "open-pairs")
         if not more.isEmpty():
             comps = components(linking(self.overlaps(more)), comps)
@@ -456,14 +459,14 @@ class Join:
         """(a, s, often): the shingles outside a centre that two members of its star at least have. By others no two can be joined."""
         return saved(self.spark, outer(stars).groupBy("a", "s").agg(F.count("*").alias("often")).where("often > 1"), "often")
 
-    def shifted(self, stars: DataFrame, open_: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Stars (a, b, b_n, size, within, asked) with open members, whose centre is taken with what more than RARE members have outside it; and (a, s, often) of the rest.
+    def shifted(self, stars: DataFrame, lean: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Stars (a, b, b_n, size, within, asked), whose centre is taken with what more than RARE members have outside it; and (a, s, often) of the rest.
 
+        lean: the stars with what open members have outside the centre, as an open member is of each pair that is looked for.
         `within` is what a member has in the centre so taken, `size` what it has outside, `asked` what it needs of any partner beyond the centre.
         """
-        stars = stars.join(open_.select("a").distinct(), "a", "left_semi")
-        often = self.often(stars)
-        gained = outer(stars).join(often.where(F.col("often") > RARE).select("a", "s"), ["a", "s"]).groupBy("a", "b").agg(F.count("*").alias("gained"))
+        often = self.often(lean)
+        gained = outer(lean).join(often.where(F.col("often") > RARE).select("a", "s"), ["a", "s"]).groupBy("a", "b").agg(F.count("*").alias("gained"))
         least = stars.groupBy("a").agg(F.least(F.min("b_n"), F.min("a_n")).alias("smallest"))
         grown = stars.select("a", "b", "b_n", "common", F.size("rest").alias("all")).join(gained, ["a", "b"], "left").join(least, "a").fillna(0, ["gained"])
         within = F.col("common") + F.col("gained")
