@@ -49,7 +49,7 @@ STAGES = [
     ("byte-level BPE", tokens),
 ]
 
-#: Language ID and tokens are beyond SQL. No test holds the whole result against a brute-force version yet.
+#: Language ID and tokens are beyond SQL; tests/llm/test_pipeline.py holds the whole result against a plain version of all stages.
 ORACLE_SQL = None
 
 
