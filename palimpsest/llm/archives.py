@@ -8,7 +8,8 @@ an earlier one has (that with the smallest page_id) becomes a revisit that refer
 
 op8 writes the pages as ARC files, converts these and reads the WARC files back. All files are made of gzip members,
 one a record, in the shared folder; a task writes under a name of its own attempt and moves the finished file to the
-partition's name, so retries and lost executors do no harm. A task holds one record at a time.
+partition's name, in place of what a lost attempt has left there, so retries and lost executors do no harm. A task
+holds one record at a time.
 
 Results for odd input: null html is an empty payload; null url becomes `about:blank`; null page_id stays null and
 comes after all others; of rows that repeat a page_id and payload the first is the response and the rest revisit it;
@@ -48,6 +49,15 @@ def store_of(path: str):
     return fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
 
 
+def settle(store, own: str, name: str) -> None:
+    """Moves an attempt's finished file to its name; where a store won't move onto a file, that of a lost attempt goes first."""
+    try:
+        store.move(own, name)
+    except OSError:
+        store.delete_file(name)
+        store.move(own, name)
+
+
 def member(data: bytes) -> bytes:
     z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     return z.compress(data) + z.flush()
@@ -204,7 +214,7 @@ def write_arc(pages: DataFrame, folder: str, version: int | None = None) -> Data
                 if rows:
                     kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "url", "date", "digest", "size", "file", "offset"])
-        store.move(own, f"{place}/{name}")
+        settle(store, own, f"{place}/{name}")
 
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, INDEX)
 
@@ -241,7 +251,7 @@ def arc_to_warc(index: DataFrame, arc_folder: str, warc_folder: str, least: int
             until(None)
             source.close()
             out.close()
-            to_store.move(own, f"{to}/{name.replace('.arc.', '.warc.')}")
+            settle(to_store, own, f"{to}/{name.replace('.arc.', '.warc.')}")
             return name.replace(".arc.", ".warc.")
 
         def names(done: list[str]) -> pa.RecordBatch:

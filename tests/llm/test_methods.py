@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from palimpsest.llm import byte_bpe, html_text, language_id, ngram_join, quality, secret_scan, token_counts, topk_search
+from palimpsest.llm import archives, byte_bpe, html_text, language_id, ngram_join, quality, secret_scan, token_counts, topk_search
 from palimpsest.llm.common import vocabulary
 
 RAW = vocabulary(None, byte_bpe.VOCABULARY)
@@ -115,6 +115,28 @@ def test_topk(spark):
     assert topk_search.search(df.limit(0), F.col("vec_id") % 20 == 0).isEmpty()
 
 
+def test_archive_of_a_lost_attempt(tmp_path):
+    """A store that refuses to move onto a file, as some do, takes the file of the new attempt; a file that is missing is an error."""
+    from pyarrow import fs
+
+    class Strict:
+        def move(self, a, b):
+            if (tmp_path / b).exists():
+                raise OSError("exists")
+            (tmp_path / a).rename(tmp_path / b)
+
+        def delete_file(self, a):
+            (tmp_path / a).unlink()
+
+    (tmp_path / "name").write_text("lost")
+    for store, where in ((Strict(), ""), (fs.LocalFileSystem(), f"{tmp_path}/")):
+        (tmp_path / "own").write_text("whole")
+        archives.settle(store, f"{where}own", f"{where}name")
+        assert sorted(x.name for x in tmp_path.iterdir()) == ["name"] and (tmp_path / "name").read_text() == "whole"
+    with pytest.raises(OSError):
+        archives.settle(Strict(), "own", "name2")
+
+
 def components(texts: list[str | None]) -> list[int]:
     sets = []
     for t in texts:
