@@ -48,13 +48,20 @@ def fixity_rows(parsed: DataFrame) -> DataFrame:
 
 
 def build(states: DataFrame, algorithm: str = "sha256") -> DataFrame:
-    """Inventory documents (object_id, raw) from snapshots (object_id, vnum, path, digest)."""
+    """Inventory documents (object_id, raw) from snapshots (object_id, vnum, path, digest); the same snapshots give the same bytes, however their rows are dealt."""
     one = states.groupBy("object_id", "vnum", "digest").agg(F.sort_array(F.collect_list("path")).alias("paths"))
-    state = one.groupBy("object_id", "vnum").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("digest", "paths")))).alias("state"))
-    v = state.withColumn("v", F.struct(F.lit("2020-01-01T00:00:00Z").alias("created"), F.lit("m").alias("message"), F.struct(F.lit("u").alias("name")).alias("user"), "state"))
-    whole = v.groupBy("object_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("v"), F.col("vnum").cast("string")).alias("k"), "v"))).alias("versions"), F.max("vnum").alias("head"))
+    state = one.groupBy("object_id", "vnum").agg(F.sort_array(F.collect_list(F.struct("digest", "paths"))).alias("state"))
+    # Sorted before the states become maps, which have no order.
+    v = F.transform(
+        F.sort_array(F.collect_list(F.struct("vnum", "state"))),
+        lambda x: F.struct(
+            F.concat(F.lit("v"), x["vnum"].cast("string")).alias("k"),
+            F.struct(F.lit("2020-01-01T00:00:00Z").alias("created"), F.lit("m").alias("message"), F.struct(F.lit("u").alias("name")).alias("user"), F.map_from_entries(x["state"]).alias("state")).alias("v"),
+        ),
+    )
+    whole = state.groupBy("object_id").agg(F.map_from_entries(v).alias("versions"), F.max("vnum").alias("head"))
     first = states.groupBy("object_id", "digest").agg(F.min(F.struct("vnum", "path")).alias("f"))
     path = F.concat_ws("/", F.concat(F.lit("v"), F.col("f.vnum").cast("string")), F.lit("content"), F.col("f.path"))
-    manifest = first.groupBy("object_id").agg(F.map_from_entries(F.collect_list(F.struct("digest", F.array(path)))).alias("manifest"))
+    manifest = first.groupBy("object_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("digest", F.array(path))))).alias("manifest"))
     doc = F.struct(F.col("object_id").cast("string").alias("id"), F.lit("https://ocfl.io/1.1/spec/#inventory").alias("type"), F.lit(algorithm).alias("digestAlgorithm"), F.concat(F.lit("v"), F.col("head").cast("string")).alias("head"), "manifest", "versions")
     return whole.join(manifest, "object_id").select(F.col("object_id").cast("string").alias("object_id"), F.to_json(doc).alias("raw"))

@@ -1,6 +1,7 @@
 """A repository on disk, update logs against a plain interpreter, and table rules."""
 
 import hashlib
+import json
 import random
 
 import duckdb
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import digests, layouts, paths
 from palimpsest.operators import repository, state, tables, updates
 from palimpsest.plans import objects, registry
+from palimpsest.sources import inventory
 from palimpsest.sources.files import repo_files
 
 SF = "/root/testdata/sf0.001"
@@ -34,6 +36,18 @@ def test_files(spark, tmp_path):
     assert repository.object_issues(files.limit(0)).isEmpty()
 
 
+def test_built_inventories_do_not_hang_on_row_order(spark):
+    rows = [(o, v, f"p{v % 3}", hashlib.md5(f"{o} {v}".encode()).hexdigest()) for o in range(2) for v in range(1, 41)]
+    told = []
+    for seed, n in ((1, 1), (2, 7)):
+        dealt = spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), "object_id long, vnum long, path string, digest string").repartition(n)
+        told.append({r.object_id: r.raw for r in inventory.build(dealt).collect()})
+    assert told[0] == told[1] and len(told[0]) == 2
+    for raw in told[0].values():
+        doc = json.loads(raw)
+        assert list(doc["versions"]) == [f"v{i}" for i in range(1, 41)] and list(doc["manifest"]) == sorted(doc["manifest"])
+
+
 def test_updates_against_interpreter(spark):
     rng, rows, log, want, failed = random.Random(3), [], [], set(), set()
     for o in range(60):
