@@ -10,7 +10,10 @@ partitions; it bears on the cost alone). The boundary x is the one of least
 estimated cost over the sizes that occur.
 
 Pairs of a short list are counted over all short lists; two sets that share too few of their first shingles to link are
-left out by that count. Of the others each class is verified against the partner with most partners first, then only
+left out by that count. Where a set stands in fewer long lists than it has to share with the other, they share a short
+one too: the pair is left to that count, with the long lists of the one that stands in fewer added. So a set enters a
+long list only where one of its members has a size with which long lists alone may tell a link, and what long random
+texts have in common by chance is not looked at there. Of the others each class is verified against the partner with most partners first, then only
 pairs that are still in different components. A long list is not paired: each member is verified against the list's
 centre C and the centres of its size band and the next one, which tells most components. What more than RARE members
 have outside C is counted in with it. A linked pair that joins two components shares enough within C, or it shares
@@ -41,7 +44,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import release
-from palimpsest.runtime import arrow_rows, saved, ship, table
+from palimpsest.runtime import arrow_rows, cleaned, saved, ship, table
 
 SHINGLE, PERCENT = 5, 75
 #: Sizes whose numbers the driver gets to choose the boundary from (one set of this size has more than 1e40 subsets); cost of a posting in terms of one subset key.
@@ -332,11 +335,17 @@ def _can_link(a: str, b: str):
     return (F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT)
 
 
+def shared_first(a: str, b: str) -> str:
+    """SQL: least number of first shingles that linked sets of sizes a and b share."""
+    return f"(ceil({PERCENT} * ({a} + {b}) / {100 + PERCENT}) - ceil({PERCENT} * greatest({a}, {b}) / 100) + 1)"
+
+
 class Join:
     """The state of one join: the documents, the lists and the links found so far."""
 
     def __init__(self, docs: DataFrame) -> None:
         self.spark: SparkSession = docs.sparkSession
+        self.tables: list[DataFrame] = []
         ship(self.spark)
         self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         arrow_rows(self.spark, 4096)
@@ -345,34 +354,47 @@ class Join:
         small = self.rows.where(F.col("n").between(1, SIZES)).select("n", "cls").distinct().groupBy("n").count().collect()
         self.light = boundary({r[0]: r[1] for r in small})
         often = first.where("kind = 1").groupBy("cls").agg(F.sum("n").alias("c")).where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "cls").limit(LAST)
-        last = np.sort(often.toPandas()["cls"].to_numpy(np.int64).view(np.uint64))
+        last = np.sort(gathered(often)["cls"].to_numpy(np.int64).view(np.uint64))
         arrow_rows(self.spark, 10_000)
         postings = self.texts.mapInArrow(_postings(self.spark.sparkContext.broadcast(last), self.light), "key long, kind int, cls long, n int")
         lists = postings.repartition("key").sortWithinPartitions("key", "n", "cls").mapInArrow(_lists, _LISTS)
         self.lists = saved(self.spark, lists, "lists")
 
+    def saved(self, df: DataFrame, name: str) -> DataFrame:
+        """A table that goes when the components are known."""
+        self.tables.append(saved(self.spark, df, name))
+        return self.tables[-1]
+
     def light_links(self) -> DataFrame:
         keys = self.lists.where("kind > 0")
         both = keys.groupBy("key").agg((F.min("n") < F.max("n")).alias("both"))
         return keys.join(both, "key").where("(kind = 1 or both) and cls != hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
 
     def near(self, short: DataFrame) -> DataFrame:
-        """Pairs (a, b) of short lists that share enough of their first shingles to link."""
+        """Pairs (a, b) of short lists (key, cls, n, lists) that share enough of their first shingles to link; `lists` are the long ones that a class stands in.
+
+        Pairs that need no more than the long lists of either are looked for there too.
+        """
         p, q = short.alias("p"), short.alias("q")
         meet = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.cls") < F.col("q.cls")) & _can_link("p.n", "q.n") & (F.greatest("p.n", "q.n") > self.light))
-        counted = meet.groupBy(F.col("p.cls").alias("a"), F.col("q.cls").alias("b")).agg(F.count("*").alias("k"), F.first("p.n").alias("x"), F.first("q.n").alias("y"))
-        least = F.expr(f"ceil({PERCENT} * (x + y) / {100 + PERCENT}) - ceil({PERCENT} * greatest(x, y) / 100) + 1")
-        return counted.where(F.col("k") >= least).select("a", "b")
+        counted = meet.groupBy(F.col("p.cls").alias("a"), F.col("q.cls").alias("b")).agg(F.count("*").alias("k"), F.first("p.n").alias("x"), F.first("q.n").alias("y"), F.first(F.least("p.lists", "q.lists")).alias("lists"))
+        least = shared_first("x", "y")
+        return counted.where(f"k + if({least} > lists, lists, 0) >= {least}").select("a", "b")
+
+    def standing(self, members: DataFrame) -> DataFrame:
+        """Of members (key, cls, n, lists) of long lists: those that share their list with a size to which `lists` long lists alone may tell a link."""
+        sizes = members.groupBy("key").agg(F.collect_set("n").alias("sizes"))
+        told = f"({shared_first('n', 'n')} <= lists or exists(sizes, m -> m != n and {PERCENT} * greatest(m, n) <= 100 * least(m, n) and {shared_first('n', 'm')} <= lists))"
+        return members.join(sizes, "key").where(told).drop("sizes")
 
     def overlaps(self, pairs: DataFrame, rest: str = "false") -> DataFrame:
         """pairs (a, b, ...) with a_n, b_n, common, and in `rest` the shingles of b outside a where that condition holds."""
-        pairs = saved(self.spark, pairs, "pairs")
+        pairs = self.saved(pairs, "pairs")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
         sets = self.sets.join(ends, "cls", "left_semi").dropDuplicates(["cls"])
         one = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("s")), "a")
         two = one.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("t")), "b")
-        out = saved(
-            self.spark,
+        out = self.saved(
             two.select(*pairs.columns, F.size("s").alias("a_n"), F.size("t").alias("b_n"), F.size(F.array_intersect("s", "t")).alias("common"), F.expr(f"case when {rest} then array_except(t, s) end").alias("rest")),
             "overlaps",
         )
@@ -386,7 +408,7 @@ class Join:
         """
         own = members.groupBy("cls").agg(F.count("*").alias("c"))
         score = F.struct((F.col("c") / (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)).alias("part"), "n", "cls")
-        best = saved(self.spark, members.join(own, "cls").groupBy("key", "band").agg(F.max(score).alias("score")), "centres")
+        best = self.saved(members.join(own, "cls").groupBy("key", "band").agg(F.max(score).alias("score")), "centres")
         of_list = best.groupBy("key").agg(F.max("score")["cls"].alias("a"))
         of_band = best.select("key", "band", F.col("score")["cls"].alias("a"))
         asked = members.select("key", F.col("cls").alias("b"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
@@ -397,8 +419,9 @@ class Join:
     def filter_of(self, values: DataFrame):
         """A broadcast bit filter (1 MB) of the column c."""
         bit = F.col("c").bitwiseAND((1 << FILTER_BITS) - 1)
-        words = values.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, int((c & {(1 << FILTER_BITS) - 1}) & 63))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
+        words = values.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, int((c & {(1 << FILTER_BITS) - 1}) & 63))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
         filled = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+        words = gathered(words)
         filled[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64).view(np.uint64)
         return self.spark.sparkContext.broadcast(filled)
 
@@ -406,58 +429,65 @@ class Join:
         """(cls, shingles) of the classes c of ends, and of some others; the texts are read again."""
         given = self.filter_of(ends)
         arrow_rows(self.spark, 4096)
-        return saved(self.spark, self.texts.mapInArrow(_sets(given), "cls long, shingles array<long>"), "sets")
+        return self.saved(self.texts.mapInArrow(_sets(given), "cls long, shingles array<long>"), "sets")
 
     def trimmed(self, stars: DataFrame, asked: DataFrame) -> DataFrame:
         """stars whose `rest` keeps what stands in asked (a, s), and some others, the same ones for all members of a star."""
         given = self.filter_of(asked.select(F.col("a").bitwiseXOR(F.col("s")).alias("c")))
         arrow_rows(self.spark, 256)
-        return saved(self.spark, stars.select("a", "b", "a_n", "b_n", "rest").mapInArrow(_trim(given), "a long, b long, a_n int, b_n int, rest array<long>"), "trimmed")
+        return self.saved(stars.select("a", "b", "a_n", "b_n", "rest").mapInArrow(_trim(given), "a long, b long, a_n int, b_n int, rest array<long>"), "trimmed")
 
     def run(self) -> DataFrame:
         """(cls, comp) of the classes that are linked to another."""
         heavy = self.lists.where("kind = 0")
         long = heavy.where(F.col("at") == SHORT_LIST).select("key")
-        near = saved(self.spark, self.near(heavy.join(long, "key", "left_anti").select("key", "cls", "n")), "near")
-        members = saved(self.spark, heavy.join(long, "key", "left_semi").select("key", "cls", "n", F.floor(F.log(BAND, "n")).cast("int").alias("band")), "long-lists")
-        links = saved(self.spark, self.light_links(), "light-links")
+        every = self.saved(heavy.join(long, "key", "left_semi").select("key", "cls", "n"), "long-lists")
+        lists = every.groupBy("cls").agg(F.count("*").alias("lists"))
+        short = heavy.join(long, "key", "left_anti").select("key", "cls", "n").join(lists, "cls", "left").fillna(0, ["lists"])
+        near = self.saved(self.near(short), "near")
+        links = self.saved(self.light_links(), "light-links")
         dropped(self.lists)
+        members = self.standing(every.join(lists, "cls")).select("key", "cls", "n", F.floor(F.log(BAND, "n")).cast("int").alias("band"))
+        members = self.saved(members, "standing")
+        dropped(every)
         self.sets = self.sets_of(near.select(F.explode(F.array("a", "b")).alias("c")).union(members.select("cls")).distinct())
         found = self.overlaps(starred(near).withColumn("kind", F.lit(0)).union(self.central(members)).groupBy("a", "b").agg(F.max("kind").alias("kind")), "kind > 0")
         comps = components(links.union(linking(found)))
         told = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = saved(self.spark, apart(near, comps).join(told, ["a", "b"], "left_anti"), "open-near")
+        more = self.saved(apart(near, comps).join(told, ["a", "b"], "left_anti"), "open-near")
         if not more.isEmpty():
             comps = components(linking(self.overlaps(more)), comps)
-        return self.across(found.where("kind > 0"), told, comps)
+        comps = self.across(found.where("kind > 0"), told, comps)
+        dropped(*self.tables)
+        return comps
 
     def across(self, found: DataFrame, told: DataFrame, comps: DataFrame) -> DataFrame:
         """comps with the links between components of one long list; `told` are pairs that need not be verified again."""
-        open_ = saved(self.spark, outside(found.select("a", "b"), comps), "open")
+        open_ = self.saved(outside(found.select("a", "b"), comps), "open")
         found = found.join(open_.select("a").distinct(), "a", "left_semi")
         lean = self.trimmed(found, outer(found.join(open_, ["a", "b"], "left_semi")))
         stars, often = self.shifted(found, lean)
         open_ = stars.join(open_, ["a", "b"], "left_semi")
-        asked = saved(self.spark, self.inside(stars, open_), "inside")
+        asked = self.saved(self.inside(stars, open_), "inside")
         pairs = met(open_.withColumn("asked", F.greatest("asked", F.lit(1))), self.trimmed(lean, often), often, comps)
         if not asked.isEmpty():
             found = self.overlaps(self.sized(stars, asked), "true")
             comps = components(linking(found), comps)
             probes = owned(owned(found, comps, "a"), comps, "b").where("a_comp != b_comp")
             needed = F.expr(f"ceil({PERCENT} * (a_n + b_n) / {100 + PERCENT})") - F.col("common")
-            probes = saved(self.spark, probes.select("a", "b", F.size("rest").alias("size"), needed.alias("asked")), "probes")
+            probes = self.saved(probes.select("a", "b", F.size("rest").alias("size"), needed.alias("asked")), "probes")
             found = found.join(probes.select("a").distinct(), "a", "left_semi")
             lean = self.trimmed(found, outer(found.join(probes, ["a", "b"], "left_semi")))
             often = self.often(lean)
             pairs = pairs.union(met(probes, self.trimmed(lean, often), often, comps, F.col("p.a_n") == F.least("p.b_n", "q.b_n")))
-        more = saved(self.spark, apart(pairs.distinct(), comps).join(told, ["a", "b"], "left_anti"), "open-pairs")
+        more = self.saved(apart(pairs.distinct(), comps).join(told, ["a", "b"], "left_anti"), "open-pairs")
         if not more.isEmpty():
             comps = components(linking(self.overlaps(more)), comps)
         return comps
 
     def often(self, stars: DataFrame) -> DataFrame:
         """(a, s, often): the shingles outside a centre that two members of its star at least have. By others no two can be joined."""
-        return saved(self.spark, outer(stars).groupBy("a", "s").agg(F.count("*").alias("often")).where("often > 1"), "often")
+        return self.saved(outer(stars).groupBy("a", "s").agg(F.count("*").alias("often")).where("often > 1"), "often")
 
     def shifted(self, stars: DataFrame, lean: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Stars (a, b, b_n, size, within, asked), whose centre is taken with what more than RARE members have outside it; and (a, s, often) of the rest.
@@ -472,7 +502,7 @@ class Join:
         within = F.col("common") + F.col("gained")
         asked = F.expr(f"greatest(ceil({PERCENT} * b_n / 100), ceil({PERCENT} * (b_n + smallest) / {100 + PERCENT}))") - within
         out = grown.select("a", "b", "b_n", (F.col("all") - F.col("gained")).alias("size"), within.alias("within"), asked.alias("asked"))
-        return saved(self.spark, out, "stars"), often.where(F.col("often") <= RARE)
+        return self.saved(out, "stars"), often.where(F.col("often") <= RARE)
 
     def inside(self, stars: DataFrame, open_: DataFrame) -> DataFrame:
         """(a, s): stars that may have a linked pair, one of it in open_, whose members share enough within the centre alone, and the size of its smaller one."""
@@ -488,6 +518,12 @@ class Join:
         return pairs.select(F.col("own").alias("a"), "b").where("a != b").distinct()
 
 
+def gathered(df: DataFrame):
+    """A small table on the driver, without shuffle files left."""
+    with cleaned(df.sparkSession):
+        return df.select("*").toPandas()
+
+
 def starred(pairs: DataFrame) -> DataFrame:
     """Of pairs (a, b): each end with the one of its partners that has most partners, where that one has more than itself."""
     both = pairs.union(pairs.select("b", "a"))
@@ -578,8 +614,11 @@ def linked(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each component, that with the smallest id; of rows that repeat an id and text one. Rows without doc_id stay, once for each text, where their component has no id."""
-    found = linked(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    found = linked(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    # Texts are dealt by doc_id once, for the join and for what repeats.
+    kept = docs.join(found.where("doc_id is not null"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    without = docs.where("doc_id is null").crossJoin(F.broadcast(found.where("doc_id is null").select(F.lit(1).alias("__any")))).drop("__any")
+    return kept.select(*docs.columns).union(without.select(*docs.columns).dropDuplicates(["text"]))
 
 
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -6,11 +6,15 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Spark's own switch; without it shuffle files stay until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,8 +59,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Actions planned inside remove their shuffle files as soon as they have run."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def saved(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there and lost executors cost no recomputation."""
+    """Write a table to the shared folder and read it back: lineage ends there, lost executors cost no recomputation and no shuffle files are left."""
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with cleaned(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

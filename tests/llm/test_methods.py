@@ -2,6 +2,7 @@
 
 import base64
 import random
+import time
 from itertools import product
 
 import numpy as np
@@ -10,6 +11,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
+from palimpsest import runtime
 from palimpsest.llm import archives, byte_bpe, html_text, language_id, ngram_join, quality, secret_scan, token_counts, topk_search
 from palimpsest.llm.common import vocabulary
 
@@ -169,6 +171,42 @@ def test_ngram_join_families(spark, seed):
     assert got == dict(enumerate(want)) and len(set(want)) > 3
 
 
+def test_ngram_join_of_what_is_common_by_chance(spark, monkeypatch):
+    """Random texts with a passage in common stand in its long lists, but no two can link by them: none of them is verified against a centre."""
+    rng, words, met = random.Random(4), [f"w{i}" for i in range(3000)], []
+    passage = [rng.choice(words) for _ in range(14)]
+    texts = [" ".join([rng.choice(words) for _ in range(150)] + passage + [rng.choice(words) for _ in range(rng.randrange(120, 150))]) for _ in range(120)]
+    texts += [t.rsplit(" ", rng.randrange(1, 60))[0] for t in texts[:20]]
+    central = ngram_join.Join.central
+    monkeypatch.setattr(ngram_join.Join, "central", lambda self, members: met.append(members.count()) or central(self, members))
+    monkeypatch.setattr(ngram_join, "FREQUENT", 10**9)  # else the passage would stand last
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in ngram_join.linked(df).collect()}
+    assert got == dict(enumerate(components(texts))) and met == [0]
+
+
+def test_saved_tables_leave_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    names = lambda: {str(f) for f in (x.getName() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles())) if f.startswith("shuffle_")}
+    before, switch = names(), spark.conf.get(runtime.CLEANUP)
+    kept = runtime.saved(spark, spark.range(10_000).groupBy((F.col("id") % 7).alias("k")).count(), "t")
+    for _ in range(50):
+        if not (left := names() - before):
+            break
+        time.sleep(0.2)
+    assert not left and kept.count() == 7 and spark.conf.get(runtime.CLEANUP) == switch
+
+
+def test_deduplicated_ids(spark):
+    """One row of each id and text, the smallest id of a component; rows without id once for each text where they stand alone."""
+    same, other = "one two three four five six seven", "a b c d e f g"
+    rows = [(3, same, "x"), (3, same, "x"), (4, same, "y"), (None, other, "z"), (None, other, "z"), (9, None, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = ngram_join.deduplicated(df)
+    assert got.columns == df.columns and {tuple(r) for r in got.collect()} == {(3, same, "x"), (None, other, "z"), (9, None, "n")} and got.count() == 3
+    assert ngram_join.deduplicated(df.limit(0)).isEmpty()
+
+
 def test_ngram_join_odd(spark):
     same = "one two three four five six seven"
     rows = [(None, same), (None, same), (3, same), (3, same), (2, None), (None, None), (5, " \t")]
