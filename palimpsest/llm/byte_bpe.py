@@ -13,6 +13,8 @@ memory is linear in its length.
 from __future__ import annotations
 
 import base64
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -259,9 +261,23 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | No
 
 def digests(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document the number of its ids, their digest and the digest of what they decode to, after the columns to keep."""
-    e = encode(docs.select("doc_id", "text", *keep), path=path).drop("text")
-    e = e.withColumns({"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256)})
-    return decode(e, path=path, drop=("ids",)).select("doc_id", *keep, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    import public_tokenizers
+
+    raw, pattern = docs.sparkSession.sparkContext.broadcast(vocabulary(path, VOCABULARY)), public_tokenizers.PATTERN
+
+    def make():
+        own = held(("codec", hash(raw.value)), lambda: Codec(raw.value, pattern))
+
+        def work(values):
+            ids = own.encode(values["text"].to_pylist())
+            told = [hashlib.sha256(b" ".join(map(b"%d".__mod__, x))).hexdigest() for x in map(np.ndarray.tolist, np.split(ids.values.to_numpy(), ids.offsets.to_numpy()[1:-1]))]
+            return [pc.list_value_length(ids).cast(pa.int64()), told, [hashlib.sha256(x).hexdigest() for x in own.decode(ids)]]
+
+        return work
+
+    # One pass: encoding and decoding in two would keep two workers, with a codec each, for every task.
+    fields = [field("n_tokens", T.LongType()), field("ids_sha256", T.StringType()), field("decoded_sha256", T.StringType())]
+    return appended(docs.select("doc_id", "text", *keep), ["text"], fields, make, drop=("text",)).select("doc_id", *keep, "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op6_byte_bpe(spark, sf_dir: str) -> DataFrame:

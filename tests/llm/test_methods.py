@@ -1,6 +1,7 @@
 """The operators' methods against plain versions, and odd input."""
 
 import base64
+import hashlib
 import random
 import time
 from itertools import product
@@ -207,6 +208,16 @@ def test_deduplicated_ids(spark):
     assert ngram_join.deduplicated(df.limit(0)).isEmpty()
 
 
+def test_bpe_digests_need_one_python_pass(spark):
+    df = spark.createDataFrame([(1, "Some text, some more."), (2, ""), (3, None)], "doc_id long, text string")
+    got = byte_bpe.digests(df)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    ids = {r.doc_id: list(r.ids) for r in byte_bpe.encode(df).collect()}
+    digest = lambda x: hashlib.sha256(x).hexdigest()
+    want = {(r.doc_id, len(ids[r.doc_id]), digest(" ".join(map(str, ids[r.doc_id])).encode()), digest((r.text or "").encode())) for r in df.collect()}
+    assert {tuple(r) for r in got.collect()} == want
+
+
 def test_ngram_join_odd(spark):
     same = "one two three four five six seven"
     rows = [(None, same), (None, same), (3, same), (3, same), (2, None), (None, None), (5, " \t")]
