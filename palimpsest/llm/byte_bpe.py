@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import appended, field, held, vocabulary
+from palimpsest.llm.common import appended, field, held, settle, vocabulary
 from palimpsest.runtime import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LONG = 512
 #: Bytes of pre-tokens in one recursive query, entries of a worker's cache and bytes of one; they only bound memory.
 CHUNK, ENTRIES, KEPT = 250_000, 400_000, 512
+#: Bytes of texts whose digests are made at once; it only bounds memory.
+SLICE = 1_000_000
 #: White space; where none meets other white space or an end of the text, each single space or newline is a pre-token boundary.
 BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 UNEVEN = rf"{BLANK}{BLANK}|\A{BLANK}|{BLANK}\z"
@@ -229,6 +232,14 @@ class Codec:
         return out
 
 
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in order, about SLICE bytes at once; a longer text is one slice."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // SLICE)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield texts.slice(a, b - a)
+
+
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None) -> DataFrame:
     """df with array<int> `ids`: the BPE tokens of the whole text, without special tokens."""
     import public_tokenizers
@@ -269,9 +280,15 @@ def digests(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ()
         own = held(("codec", hash(raw.value)), lambda: Codec(raw.value, pattern))
 
         def work(values):
-            ids = own.encode(values["text"].to_pylist())
-            told = [hashlib.sha256(b" ".join(map(b"%d".__mod__, x))).hexdigest() for x in map(np.ndarray.tolist, np.split(ids.values.to_numpy(), ids.offsets.to_numpy()[1:-1]))]
-            return [pc.list_value_length(ids).cast(pa.int64()), told, [hashlib.sha256(x).hexdigest() for x in own.decode(ids)]]
+            counts, told, back = [], [], []
+            for texts in slices(values["text"]):
+                ids = own.encode(texts.to_pylist())
+                counts += pc.list_value_length(ids).to_pylist()
+                told += [hashlib.sha256(b" ".join(map(b"%d".__mod__, x))).hexdigest() for x in map(np.ndarray.tolist, np.split(ids.values.to_numpy(), ids.offsets.to_numpy()[1:-1]))]
+                back += [hashlib.sha256(x).hexdigest() for x in own.decode(ids)]
+                del ids
+                settle()
+            return [counts, told, back]
 
         return work
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import os
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -50,10 +52,28 @@ def appended(
             values = {c: b.column(kept.index(c) if c in kept else len(kept) + extra.index(c)) for c in needs}
             made = [a if isinstance(a, pa.Array) else pa.array(a, k) for a, k in zip(work(values), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(columns + made, names=[f.name for f in schema.fields])
-        del work
-        pa.default_memory_pool().release_unused()
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(settled(run), schema)
+
+
+def settled(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, with the worker's free memory given back at the task's end."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        settle()
+
+    return whole
+
+
+_malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+
+
+def settle() -> None:
+    """Give back what is free but kept by the allocators: a worker lives on, and shares its executor's memory with the JVM and other workers."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim:
+        _malloc_trim(0)
 
 
 _held: dict[object, object] = {}
@@ -70,7 +90,7 @@ def held(key: object, make: Callable[[], object]) -> object:
 def release() -> None:
     """Let go of what this worker keeps: it may run tasks of other stages."""
     _held.clear()
-    pa.default_memory_pool().release_unused()
+    settle()
 
 
 def pa_type(kind: T.DataType) -> pa.DataType:

@@ -25,6 +25,7 @@ fate; without doc_id the text decides; an empty table gives an empty one; column
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,7 +98,8 @@ def cell_weights(rows: DataFrame, rate: float = RATE, temper: float = TEMPER, ta
         shares.append(share / max(share.sum(), 1e-300))
     w = rake(mass, numbers, shares)
     found["weight"], found["copies"], found["prob"] = w, rate * mass.sum() * w / mass, probabilities(mass, w, rate)
-    return saved(spark, spark.createDataFrame(found), "cell-weights")
+    # As an Arrow table: rows from pandas would start Python workers of another kind in the executors, which stay beside the next stage's.
+    return saved(spark, spark.createDataFrame(pa.Table.from_pandas(found, preserve_index=False)), "cell-weights")
 
 
 def _distributed(cells: DataFrame, rate: float, temper: float, targets: dict[str, dict[str, float]]) -> DataFrame:

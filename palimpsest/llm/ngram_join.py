@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import release
+from palimpsest.llm.common import release, settled
 from palimpsest.runtime import arrow_rows, cleaned, saved, ship, table
 
 SHINGLE, PERCENT = 5, 75
@@ -349,15 +349,15 @@ class Join:
         ship(self.spark)
         self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         arrow_rows(self.spark, 4096)
-        first = saved(self.spark, self.texts.mapInArrow(_first_pass, "kind int, doc_id long, n long, cls long"), "shingle-rows")
+        first = saved(self.spark, self.texts.mapInArrow(settled(_first_pass), "kind int, doc_id long, n long, cls long"), "shingle-rows")
         self.rows = first.where("kind = 0").select("doc_id", "n", "cls")
         small = self.rows.where(F.col("n").between(1, SIZES)).select("n", "cls").distinct().groupBy("n").count().collect()
         self.light = boundary({r[0]: r[1] for r in small})
         often = first.where("kind = 1").groupBy("cls").agg(F.sum("n").alias("c")).where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "cls").limit(LAST)
         last = np.sort(gathered(often)["cls"].to_numpy(np.int64).view(np.uint64))
         arrow_rows(self.spark, 10_000)
-        postings = self.texts.mapInArrow(_postings(self.spark.sparkContext.broadcast(last), self.light), "key long, kind int, cls long, n int")
-        lists = postings.repartition("key").sortWithinPartitions("key", "n", "cls").mapInArrow(_lists, _LISTS)
+        postings = self.texts.mapInArrow(settled(_postings(self.spark.sparkContext.broadcast(last), self.light)), "key long, kind int, cls long, n int")
+        lists = postings.repartition("key").sortWithinPartitions("key", "n", "cls").mapInArrow(settled(_lists), _LISTS)
         self.lists = saved(self.spark, lists, "lists")
 
     def saved(self, df: DataFrame, name: str) -> DataFrame:
@@ -429,13 +429,13 @@ class Join:
         """(cls, shingles) of the classes c of ends, and of some others; the texts are read again."""
         given = self.filter_of(ends)
         arrow_rows(self.spark, 4096)
-        return self.saved(self.texts.mapInArrow(_sets(given), "cls long, shingles array<long>"), "sets")
+        return self.saved(self.texts.mapInArrow(settled(_sets(given)), "cls long, shingles array<long>"), "sets")
 
     def trimmed(self, stars: DataFrame, asked: DataFrame) -> DataFrame:
         """stars whose `rest` keeps what stands in asked (a, s), and some others, the same ones for all members of a star."""
         given = self.filter_of(asked.select(F.col("a").bitwiseXOR(F.col("s")).alias("c")))
         arrow_rows(self.spark, 256)
-        return self.saved(stars.select("a", "b", "a_n", "b_n", "rest").mapInArrow(_trim(given), "a long, b long, a_n int, b_n int, rest array<long>"), "trimmed")
+        return self.saved(stars.select("a", "b", "a_n", "b_n", "rest").mapInArrow(settled(_trim(given)), "a long, b long, a_n int, b_n int, rest array<long>"), "trimmed")
 
     def run(self) -> DataFrame:
         """(cls, comp) of the classes that are linked to another."""

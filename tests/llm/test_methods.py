@@ -3,18 +3,21 @@
 import base64
 import hashlib
 import random
+import re
 import time
 from itertools import product
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 from palimpsest import runtime
-from palimpsest.llm import archives, byte_bpe, html_text, language_id, ngram_join, quality, secret_scan, token_counts, topk_search
-from palimpsest.llm.common import vocabulary
+from palimpsest.llm import archives, byte_bpe, html_text, language_id, mixing, ngram_join, quality, secret_scan, token_counts, topk_search
+from palimpsest.llm.common import settled, vocabulary
 
 RAW = vocabulary(None, byte_bpe.VOCABULARY)
 
@@ -218,6 +221,45 @@ def test_bpe_digests_need_one_python_pass(spark):
     assert {tuple(r) for r in got.collect()} == want
 
 
+def test_bpe_digests_by_slices(spark):
+    """A batch of more text than one slice holds is worked on in parts that keep every row, in order."""
+    sizes = [0, 5, byte_bpe.SLICE - 1, 3, None, 2 * byte_bpe.SLICE + 7, 0, byte_bpe.SLICE // 2, byte_bpe.SLICE // 2, None]
+    texts = [None if n is None else ("some words é " * (n // 14 + 1)).encode()[:n].decode(errors="ignore") for n in sizes]
+    parts = [x.to_pylist() for x in byte_bpe.slices(pa.array(texts, pa.string()))]
+    assert sum(parts, []) == texts and len(parts) > 3
+    assert all(sum(len((t or "").encode()) for t in p[1:]) <= byte_bpe.SLICE for p in parts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.ranks_of(RAW), special_tokens={})
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in byte_bpe.digests(df).collect()}
+    ids = [own.encode_ordinary(t or "") for t in texts]
+    assert got == {i: (len(x), hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for i, (x, t) in enumerate(zip(ids, texts, strict=True))}
+
+
+def test_tasks_give_memory_back():
+    """What a task's Arrow arrays took is the system's again when it ends, in the join's passes too."""
+
+    def mb():
+        return sum(map(int, re.findall(r"Pss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+    def run(batches):
+        for b in batches:
+            yield len([pa.array(np.full(12_000, i)) for i in range(1_000)]) + b
+
+    assert list(settled(run)(iter([1]))) == [1_001]
+    before = mb()
+    assert list(settled(run)(iter([1, 2]))) == [1_001, 1_002] and mb() < before + 20
+
+
+def test_mixing_starts_no_workers_of_another_kind(spark, monkeypatch):
+    """The cells' weights reach the JVM without a Python RDD, whose workers stay in the executors beside those of the next stage."""
+    tables = {}
+    monkeypatch.setattr(mixing, "saved", lambda s, df, name, keep=mixing.saved: keep(s, tables.setdefault(name, df), name))
+    df = spark.createDataFrame([(i, "some words, and more", "en", f"s{i % 3}") for i in range(30)], "doc_id long, text string, lang string, source string")
+    assert mixing.sample(df).count() > 0
+    assert "PythonRDD" not in tables["cell-weights"]._jdf.queryExecution().toRdd().toDebugString()
+    assert dict(tables["cell-weights"].dtypes)["weight"] == "double" and tables["cell-weights"].count() == 3
+
+
 def test_ngram_join_odd(spark):
     same = "one two three four five six seven"
     rows = [(None, same), (None, same), (3, same), (3, same), (2, None), (None, None), (5, " \t")]
